@@ -37,12 +37,13 @@ def rank_keywords(counts: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
 def top_keywords(texts: DataFrame, lexicon: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
     """``(path, rank, keyword, n, first_pos)`` from ``(path, preview)``.
 
-    The previews move once, by ``path``, before they become tokens: a preview
-    is several times smaller than its counted tokens, and counting, ranking
-    and gathering then all find their rows in place. Previews that already
-    come from a join on ``path`` do not move at all.
+    Hand in previews partitioned by ``path``, as ``previews`` and
+    ``dispatch_text`` make them: counting and ranking then find their rows in
+    place. (A preview is several times smaller than its counted tokens, so it
+    is the preview that should move.) Other partitionings work too and cost a
+    shuffle of the counts.
     """
-    rows = lexicon_lookup(tokens(texts.repartition("path")), lexicon)
+    rows = lexicon_lookup(tokens(texts), lexicon)
     return rank_keywords(term_frequency(token_filter(rows)), k)
 
 

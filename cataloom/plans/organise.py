@@ -82,8 +82,14 @@ def organise(
     sources: DataFrame | None = None,
     **options,
 ) -> Organised:
-    """Classify, match and plan the layout; nothing runs until a result is used."""
+    """Classify, match and plan the layout.
+
+    With a query the categories are checkpointed, since breakdown and plan
+    read them several times; without one they are a projection of ``files``.
+    """
     categorised = categorise(classify(files), texts, query, lexicon, term_vectors, **options)
+    if query and query.strip():
+        categorised = materialise(categorised)
     return Organised(
         categorised, category_breakdown(categorised), plan_layout(categorised, dest, existing, sources)
     )
@@ -120,8 +126,8 @@ def organise_folder(
             others = files.where("category = 'Documents'").join(plain.select("path"), "path", "left_anti")
             documents = plain.unionByName(extract_with(others, extract))
         # checkpointed, because every extractor call is worth keeping
-        previews = materialise(documents.select("path", word_preview(F.col("text")).alias("preview")))
-        texts = keyword_eligible(dispatch_text(text_bearing(files), previews, images, media))
+        cut = materialise(documents.select("path", word_preview(F.col("text")).alias("preview")))
+        texts = keyword_eligible(dispatch_text(text_bearing(files), cut, images, media))
     categorised = materialise(categorise(files, texts, query, lexicon, term_vectors, **options))
     existing = scan_files(spark, dest)
     plan = materialise(plan_layout(categorised, dest, existing, scan_files(spark, folder, include_subfolders)))

@@ -52,11 +52,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by ``keys`` when the scan yields fewer splits than there are cores.
-
-    A table stored as one row group is read by one task; the text work that
-    follows would then run on one core. Well-split inputs pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
+def under_split(df: DataFrame) -> bool:
+    """Whether a scan yields fewer splits than there are cores (a table stored as one row group)."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism

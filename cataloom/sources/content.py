@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.functions.names import is_plain_text
-from cataloom.functions.text import PREFIX_CHARS
+from cataloom.functions.text import PREFIX_CHARS, word_preview
 from cataloom.schemas import EXTRACTED
+from cataloom.session import under_split
 
 
 def task_count(df: DataFrame) -> int:
@@ -58,3 +59,16 @@ def attach_extracted_text(files: DataFrame, extracted: DataFrame) -> DataFrame:
     return files.join(extracted.select("path", "text"), "path", "left").withColumn(
         "text", F.coalesce("text", F.lit(""))
     )
+
+
+def previews(texts: DataFrame) -> DataFrame:
+    """``(path, preview)`` from ``(path, text)``, hash-partitioned by ``path``.
+
+    The rows move exactly once. Normally that is after the cut to the first
+    words, when they are small. If the scan has fewer splits than there are
+    cores they move before it, so that the text work runs on all cores.
+    """
+    cut = word_preview(F.col("text")).alias("preview")
+    if under_split(texts):
+        return texts.select("path", "text").repartition("path").select("path", cut)
+    return texts.select("path", cut).repartition("path")
