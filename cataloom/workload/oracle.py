@@ -33,8 +33,12 @@ def _numbered(name: str, suffix: str) -> str:
     )
 
 
-def _vector_of(word: str) -> str:
-    return f"('0x' || substr(md5(lower({word})), 1, 8))::bigint % (select count(*) from embeddings)"
+def _keyed(source: str, word: str) -> str:
+    """``source`` with the number of the vector that belongs to ``word``."""
+    return (
+        f"(select *, ('0x' || substr(md5(lower({word})), 1, 8))::bigint % (select count(*) from embeddings) as vec_id "
+        f"from {source})"
+    )
 
 
 def _norm(vec: str) -> str:
@@ -78,7 +82,7 @@ def _matches(keywords: str) -> str:
     """Best score and target per file."""
     return f"""
       select path, max(score) as score, arg_max(label, (score, -idx)) as label, arg_max(idx, (score, -idx)) as idx
-      from (select k.path, s.idx, s.label, s.score from {keywords} k join scored s on s.vec_id = {_vector_of('k.keyword')})
+      from (select k.path, s.idx, s.label, s.score from {_keyed(keywords, 'keyword')} k join scored s using (vec_id))
       group by path"""
 
 
@@ -164,7 +168,7 @@ _CTES = {
       select v.vec_id, t.idx, t.label,
              list_dot_product(v.vec, t.vec) / ({_norm('v.vec')} * {_norm('t.vec')}) as score
       from vecs v cross join
-           (select idx, label, vec from targets join vecs on vec_id = {_vector_of('label')}) t""",
+           (select idx, label, vec from {_keyed('targets', 'label')} join vecs using (vec_id)) t""",
     "present": "select * from files where scan_seq not in (select doc_id from labels where toxic = 1)",
     "plan": _planned("files", "present"),
     "clean": _planned("files", "files"),
@@ -253,13 +257,13 @@ _SELECTS = {
     "choose_branch": "select query_id, case when trim(text) = '' then 'keep' else 'match' end as branch from sentences",
     "attach_target_vectors": f"""
       select query_id, idx, label, len(vec) as n_dims, round({_norm('vec')}, 6) as norm
-      from found join vecs on vec_id = {_vector_of('label')}""",
+      from {_keyed('found', 'label')} join vecs using (vec_id)""",
     "attach_keyword_vectors": f"""
       select keyword, len(vec) as n_dims, round({_norm('vec')}, 6) as norm
-      from (select distinct keyword from kws) join vecs on vec_id = {_vector_of('keyword')}""",
+      from {_keyed('(select distinct keyword from kws)', 'keyword')} join vecs using (vec_id)""",
     "pairwise_cosine": f"""
       select keyword as term, idx, label, round(score, 9) as score
-      from (select distinct keyword from kws) join scored on vec_id = {_vector_of('keyword')}""",
+      from {_keyed('(select distinct keyword from kws)', 'keyword')} join scored using (vec_id)""",
     "best_score": f"select path, round(score, 9) as score from ({_matches('kws')})",
     "best_target": f"select path, idx, label from ({_matches('kws')})",
     "match_categories": f"""
