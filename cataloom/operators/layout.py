@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.functions.names import base_name, join_path
+from cataloom.functions.names import join_path
 from cataloom.operators.naming import assign_names
 from cataloom.schemas import COPY_LOG
 from cataloom.session import materialise
@@ -91,14 +91,15 @@ def copy_status(plan: DataFrame) -> DataFrame:
 def write_layout(plan: DataFrame, contents: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """Write the planned files with their bytes as a table partitioned by category.
 
-    ``contents`` is ``(path, content)``. REBALANCE evens out the files of each
-    category: a hot category is written by many tasks, a rare one by one.
+    ``contents`` is ``(path, content)``. The bytes move once at most, for the
+    join on ``path``, which spreads evenly because paths are unique. They are
+    written from there: a hot category is written by all tasks, and nothing is
+    gathered by category.
     """
     (
         plan.where(F.col("status") == PLANNED)
         .select("path", "category", "dest_path", "length")
         .join(contents.select("path", "content"), "path", "left")
-        .hint("rebalance", "category")
         .write.mode(mode)
         .partitionBy("category")
         .parquet(folder)
@@ -141,8 +142,3 @@ def copy_files(plan: DataFrame) -> DataFrame:
     """
     work = plan.select("path", "dest_path", "status").repartition(task_count(plan), "path")
     return materialise(work.mapInPandas(_copy_batches, COPY_LOG))
-
-
-def split_destination(plan: DataFrame) -> DataFrame:
-    """Planned target as ``(path, category, target)``."""
-    return plan.select("path", "category", base_name(F.col("dest_path")).alias("target"))

@@ -12,14 +12,16 @@ How that becomes a Spark job
 * As long as nobody else asks for ``name_k.ext``, the suffix *is* the rank, or
   rank + 1 where the name exists at the destination.
 * Only where ``name.ext`` overflows and some ``name_k.ext`` is also asked for,
-  or exists, does the order of events matter. Then one small record per such
-  *name* (not per file) goes through ``_settle``; it needs only the number of
-  files in each queue and, for each ``name_k.ext``, how many files had queued
-  for ``name.ext`` before the first one that wants ``name_k.ext``. Runs of
-  existing names are folded into intervals first.
+  or exists, does the order of events matter. Then ``_settle`` plays them out,
+  from small records: the length of the queue of ``name.ext`` and, for each
+  ``name_k.ext``, how many files had queued for ``name.ext`` before the first
+  one that wants ``name_k.ext``. Consecutive numbers with equal values are
+  folded into one run first, so neither many files with one name nor long rows
+  of numbered names make the records many.
 * ``_settle`` answers with ranges of ranks and what to add to them, cut into
-  tiles of ``TILE`` ranks, so that handing the answers back to the files is an
-  equi join without hot keys.
+  tiles of ``TILE`` ranks, and with ranges of numbers given away. Spark turns
+  both back into rows; handing them to the files is an equi join without hot
+  keys.
 """
 
 from __future__ import annotations
@@ -40,13 +42,9 @@ TILE = 1 << TILE_BITS
 ISLAND_BITS = 16
 _NUMBERED = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"
 
-_RECORDS = (
-    "category string, filename string, parent string, k long, until long, "
-    "n long, taken boolean, ahead long"
-)
-_TILES = (
+_ANSWERS = (
     "category string, filename string, tile long, "
-    "pieces array<struct<first:long,last:long,add:long>>"
+    "pieces array<struct<first:long,last:long,add:long>>, lost_from long, lost_until long, lost_n long"
 )
 
 
@@ -148,34 +146,29 @@ def _ranked(rows: DataFrame, names: DataFrame, slice_bits: int, marks: DataFrame
     return events.select(*columns, (inside + start).cast("long").alias("ahead"))
 
 
-def _islands(contests: DataFrame) -> DataFrame:
-    """Existing numbers of a name as intervals; windows are cut so that none grows with the queue."""
-    slice_ = F.shiftright("k", ISLAND_BITS)
-    order = F.row_number().over(Window.partitionBy("category", "parent", "slice").orderBy("k"))
+def _runs(contests: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Numbered names, runs of equals folded; windows are cut so that none grows with the queue."""
+    ahead = ranked.where("mark is not null").select("category", F.col("mark").alias("filename"), "ahead")
+    alike = ["category", "parent", "slice", "n", "taken", "ahead"]
+    order = F.row_number().over(Window.partitionBy(*alike).orderBy("k"))
     return (
-        contests.where("taken")
-        .withColumn("slice", slice_)
-        .withColumn("island", F.col("k") - order)
-        .groupBy("category", "parent", "slice", "island")
+        contests.join(ahead, NAME, "left")
+        .withColumn("slice", F.shiftright("k", ISLAND_BITS))
+        .withColumn("run", F.col("k") - order)
+        .groupBy(*alike, "run")
         .agg(F.min("k").alias("k"), F.max("k").alias("until"))
     )
 
 
 def _records(contests: DataFrame, ranked: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("long")
-    parents = contests.select(
-        "category", F.col("parent").alias("filename"), F.lit(None).cast("string").alias("parent"),
-        none.alias("k"), none.alias("until"), F.col("parent_queue.n").alias("n"),
-        F.col("parent_queue.taken").alias("taken"), none.alias("ahead"),
+    """Queues that may overflow (with a name) and runs of their numbers (without one)."""
+    queues = contests.select(
+        "category", F.col("parent").alias("filename"), F.col("parent_queue.n"), F.col("parent_queue.taken")
     ).distinct()
-    asked = contests.where("n > 0 and not taken").join(
-        ranked.where("mark is not null").select("category", F.col("mark").alias("filename"), "ahead"), NAME
-    ).select(*NAME, "parent", "k", F.col("k").alias("until"), "n", "taken", "ahead")
-    existing = _islands(contests).select(
-        "category", F.lit(None).cast("string").alias("filename"), "parent", "k", "until",
-        F.lit(0).cast("long").alias("n"), F.lit(True).alias("taken"), F.lit(0).cast("long").alias("ahead"),
+    runs = _runs(contests, ranked).select("category", "parent", "k", "until", "n", "taken", "ahead")
+    return _with_parent(queues).unionByName(runs, allowMissingColumns=True).select(
+        "category", "filename", "parent", "k", "until", "n", "taken", "ahead"
     )
-    return parents.unionByName(asked).unionByName(existing)
 
 
 def _ranges(n: int, own: bool, skips: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -197,55 +190,73 @@ def _ranges(n: int, own: bool, skips: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _settle(records: pd.DataFrame) -> pd.DataFrame:
-    """Play out the contests of one family of names, from short names to long ones.
+def _walk(overflow: int, own: bool, runs: list[tuple]) -> tuple[list, list]:
+    """Numbers passed over and numbers taken away from their own first file.
 
-    The overflow of a name walks its numbers upwards. ``s`` is how many it has
-    passed over so far, so number ``k`` meets overflow place ``k - s``. That
-    file takes the number unless it exists or was asked for earlier.
+    Overflowing files walk the numbers upwards. ``s`` numbers have been passed
+    over so far, so number ``k`` meets overflow place ``k - s``. That file
+    takes the number unless it exists or somebody asked for it earlier.
     """
+    skips, lost, s = [], [], 0
+    for k, until, n, taken, ahead in sorted(runs):
+        place = k - s
+        earlier = 0 if taken else max(ahead - own, 0)  # overflow places before the number's first file
+        won = max(0, min(earlier - place + 1, until - k + 1, overflow - place + 1))
+        if won:
+            lost.append((k, k + won - 1, n))
+        place += won
+        if place > overflow:
+            break
+        passed = until - k + 1 - won
+        if passed:
+            skips.append((place, passed))
+            s += passed
+    return skips, lost
+
+
+def _settle(records: pd.DataFrame) -> pd.DataFrame:
+    """Play out the contests of one family of names, from short names to long ones."""
     queues: dict[str, tuple[int, bool]] = {}
-    numbers: dict[str, list[tuple]] = {}
+    own_number: dict[str, dict[int, str]] = {}
+    runs: dict[str, list[tuple]] = {}
     for name, parent, k, until, n, taken, ahead in zip(
         records["filename"], records["parent"], records["k"], records["until"],
         records["n"], records["taken"], records["ahead"],
     ):
-        if name is not None:
-            n_before, taken_before = queues.get(name, (0, False))
-            queues[name] = (max(int(n), n_before), bool(taken) or taken_before)
-        if parent is not None:
-            numbers.setdefault(parent, []).append((int(k), int(until), name, int(ahead)))
+        if name is None:
+            runs.setdefault(parent, []).append((int(k), int(until), int(n), bool(taken), 0 if taken else int(ahead)))
+        else:
+            queues[name] = (int(n), bool(taken))
+            if parent is not None:
+                own_number.setdefault(parent, {})[int(k)] = name
 
-    lost: set[str] = set()  # names given away by their parent's overflow
-    rows = []
     category = records["category"].iloc[0]
+    given_away: set[str] = set()
+    rows = []
     for name in sorted(queues, key=len):
         n, taken = queues[name]
-        own = n > 0 and not taken and name not in lost
-        overflow = n - own
-        skips: list[tuple[int, int]] = []
-        s = 0
-        for k, until, child, ahead in sorted(numbers.get(name, ()), key=lambda x: x[0]):
-            place = k - s
-            if place > overflow:
-                break
-            earlier = max(ahead - own, 0)  # overflow places queued before the child's first file
-            if child is None or place > earlier:
-                passed = until - k + 1
-                s += passed
-                if skips and skips[-1][0] == place:
-                    skips[-1] = (place, skips[-1][1] + passed)
-                else:
-                    skips.append((place, passed))
-            else:
-                lost.add(child)
+        own = not taken and name not in given_away
+        skips, lost = _walk(n - own, own, runs.get(name, []))
         tiles: dict[int, list[dict]] = {}
         for first, last, add in _ranges(n, own, skips):
             for tile in range(first >> TILE_BITS, (last >> TILE_BITS) + 1):
                 low, high = max(first, tile << TILE_BITS), min(last, ((tile + 1) << TILE_BITS) - 1)
                 tiles.setdefault(tile, []).append({"first": low, "last": high, "add": add})
-        rows.extend((category, name, tile, pieces) for tile, pieces in tiles.items())
-    return pd.DataFrame(rows, columns=["category", "filename", "tile", "pieces"])
+        rows.extend((category, name, tile, pieces, None, None, None) for tile, pieces in tiles.items())
+        for start, end, lost_n in lost:
+            # numbers with an overflowing queue of their own are settled in their turn
+            queued = own_number.get(name, {})
+            for k in sorted(k for k in queued if start <= k <= end):
+                given_away.add(queued[k])
+                if start < k:
+                    rows.append((category, name, None, None, start, k - 1, lost_n))
+                start = k + 1
+            if start <= end:
+                rows.append((category, name, None, None, start, end, lost_n))
+    out = pd.DataFrame(
+        rows, columns=["category", "filename", "tile", "pieces", "lost_from", "lost_until", "lost_n"]
+    )
+    return out.astype({c: "Int64" for c in ("tile", "lost_from", "lost_until", "lost_n")})
 
 
 def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
@@ -282,21 +293,36 @@ def _settled(rows: DataFrame, names: DataFrame, contests: DataFrame, slice_bits:
     queues = rows.select(*NAME, "scan_seq").join(parents, NAME, "left_semi")
     marks = contests.where("n > 0 and not taken")
     ranked = _ranked(queues, names, slice_bits, marks)
-    return (
+    answers = materialise(
         _records(contests, ranked)
         .withColumn("family", _family(F.coalesce("filename", "parent")))
         .groupBy("category", "family")
-        .applyInPandas(_settle, _TILES)
+        .applyInPandas(_settle, _ANSWERS)
+    )
+    lost = answers.where("tile is null").select(
+        "category",
+        "filename",
+        F.explode(F.sequence("lost_from", "lost_until")).alias("k"),
+        F.col("lost_n").alias("n"),
+    )
+    return (
+        answers.where("tile is not null")
+        .select(*NAME, "tile", "pieces")
+        .unionByName(_one_more(lost.withColumn("filename", numbered(F.col("filename"), F.col("k")))))
     )
 
 
-def _moved_up(names: DataFrame, contests: DataFrame) -> DataFrame:
-    """Tiles for names that exist at the destination and are in no contest: each file moves up by one."""
-    parents = contests.select("category", F.col("parent").alias("filename"))
-    existing = names.where("taken and n > 0").join(parents, NAME, "left_anti")
+def _one_more(names: DataFrame) -> DataFrame:
+    """Tiles for names that none of their own files gets: each moves up by one."""
     zero = F.lit(0).cast("long")
     last = F.col("n") - 1
     whole = F.struct(zero.alias("first"), last.alias("last"), F.lit(1).cast("long").alias("add"))
-    return existing.select(
+    return names.select(
         *NAME, F.explode(F.sequence(zero, F.shiftright(last, TILE_BITS))).alias("tile"), F.array(whole).alias("pieces")
     )
+
+
+def _moved_up(names: DataFrame, contests: DataFrame) -> DataFrame:
+    """Tiles for names that exist at the destination and are in no contest."""
+    parents = contests.select("category", F.col("parent").alias("filename"))
+    return _one_more(names.where("taken and n > 0").join(parents, NAME, "left_anti"))
