@@ -61,14 +61,16 @@ def attach_extracted_text(files: DataFrame, extracted: DataFrame) -> DataFrame:
     )
 
 
-def previews(texts: DataFrame) -> DataFrame:
-    """``(path, preview)`` from ``(path, text)``, hash-partitioned by ``path``.
+def previews(texts: DataFrame, placed: bool = True) -> DataFrame:
+    """``(path, preview)`` from ``(path, text)``, hash-partitioned by ``path`` if ``placed``.
 
-    The rows move exactly once. Normally that is after the cut to the first
+    The rows move once at most. Normally that is after the cut to the first
     words, when they are small. If the scan has fewer splits than there are
-    cores they move before it, so that the text work runs on all cores.
+    cores they move before it, so that the text work runs on all cores. For
+    ``dispatch_text``, whose join places the rows itself, use ``placed=False``.
     """
     cut = word_preview(F.col("text")).alias("preview")
     if under_split(texts):
         return texts.select("path", "text").repartition("path").select("path", cut)
-    return texts.select("path", cut).repartition("path")
+    cut_texts = texts.select("path", cut)
+    return cut_texts.repartition("path") if placed else cut_texts

@@ -108,10 +108,13 @@ def library_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, text)`` of the catalogue's documents: a prefix of plain text, all of the others."""
-    path = join_path(_own_folder(), F.concat(F.col("source"), _extension()))
+    """``(path, category, text)`` of the catalogue: a prefix of plain text, all of the others."""
+    filename = F.concat(F.col("source"), _extension())
+    rows = table(spark, sf_dir, "documents").select(
+        join_path(_own_folder(), filename).alias("path"), filename.alias("filename"), "text"
+    )
     text = F.when(is_plain_text(F.col("path")), text_prefix(F.col("text").cast("binary"))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select(path.alias("path"), "text").select("path", text.alias("text"))
+    return classify(rows).select("path", "category", text.alias("text"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +160,10 @@ def catalogue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         owners = path_of.where(F.col("category").isin(*categories)).drop("category")
         return pieces.drop("path").join(owners, "conv_id").withColumnRenamed("file_path", "path")
 
-    documents = document_texts(spark, sf_dir).join(
-        files.where("category = 'Documents'").select("path"), "path", "left_semi"
-    )
+    documents = document_texts(spark, sf_dir).where("category = 'Documents'")
     return dispatch_text(
         files,
-        previews(documents),
+        previews(documents, placed=False),
         assemble_ocr_text(placed(ocr_lines(spark, sf_dir), "Images")),
         assemble_transcript(placed(segments(spark, sf_dir), "Audio", "Video")),
     )
