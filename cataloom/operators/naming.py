@@ -19,7 +19,7 @@ How that becomes a Spark job
   folded into one run first, so neither many files with one name nor long rows
   of numbered names make the records many.
 * ``_settle`` answers with ranges of ranks and what to add to them, cut into
-  tiles of ``TILE`` ranks, and with ranges of numbers given away. Spark turns
+  tiles of ``2**TILE_BITS`` ranks, and with ranges of numbers given away. Spark turns
   both back into rows; handing them to the files is an equi join without hot
   keys.
 """
@@ -37,8 +37,7 @@ from cataloom.session import materialise
 
 NAME = ["category", "filename"]
 SLICE_BITS = 20
-TILE_BITS = 10
-TILE = 1 << TILE_BITS
+TILE_BITS = 12
 ISLAND_BITS = 16
 _NUMBERED = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"
 
@@ -262,7 +261,8 @@ def _settle(records: pd.DataFrame) -> pd.DataFrame:
 def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Add ``target`` and ``n_suffix`` (0 for none) to ``rows``.
 
-    ``rows`` needs ``category``, ``filename`` and a unique ``scan_seq``;
+    ``rows`` needs ``category``, ``filename`` and a unique, gap-poor
+    ``scan_seq`` such as ``with_scan_seq`` gives;
     ``taken`` lists ``(category, filename)`` at the destination. The queue
     lengths are counted at once (one row per name, checkpointed), because the
     rest of the plan depends on whether there are hot names and contests at all.

@@ -52,6 +52,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def under_split(df: DataFrame) -> bool:
-    """Whether a scan yields fewer splits than there are cores (a table stored as one row group)."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+def under_split(scan: DataFrame) -> bool:
+    """Whether a plain table scan has fewer splits than there are cores.
+
+    So it is with a table stored as one row group. Only for a scan: the number
+    of partitions behind a shuffle is not known before it has run.
+    """
+    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism

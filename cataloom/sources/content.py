@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from cataloom.functions.names import is_plain_text
 from cataloom.functions.text import PREFIX_CHARS, word_preview
 from cataloom.schemas import EXTRACTED
-from cataloom.session import under_split
 
 
 def task_count(df: DataFrame) -> int:
@@ -61,16 +60,17 @@ def attach_extracted_text(files: DataFrame, extracted: DataFrame) -> DataFrame:
     )
 
 
-def previews(texts: DataFrame, placed: bool = True) -> DataFrame:
+def previews(texts: DataFrame, placed: bool = True, spread: bool = False) -> DataFrame:
     """``(path, preview)`` from ``(path, text)``, hash-partitioned by ``path`` if ``placed``.
 
     The rows move once at most. Normally that is after the cut to the first
-    words, when they are small. If the scan has fewer splits than there are
-    cores they move before it, so that the text work runs on all cores. For
-    ``dispatch_text``, whose join places the rows itself, use ``placed=False``.
+    words, when they are small. With ``spread`` (for a scan with fewer splits
+    than cores, see ``under_split``) they move before it, so that the text work
+    runs on all cores. For ``dispatch_text``, whose join places the rows
+    itself, use ``placed=False``.
     """
-    cut = word_preview(F.col("text")).alias("preview")
-    if under_split(texts):
-        return texts.select("path", "text").repartition("path").select("path", cut)
-    cut_texts = texts.select("path", cut)
-    return cut_texts.repartition("path") if placed else cut_texts
+    rows = texts.select("path", "text")
+    if spread:
+        rows = rows.repartition("path")
+    cut = rows.select("path", word_preview(F.col("text")).alias("preview"))
+    return cut.repartition("path") if placed and not spread else cut

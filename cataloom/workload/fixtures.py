@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cataloom.functions.names import is_plain_text, join_path
 from cataloom.functions.text import text_prefix
 from cataloom.operators.classify import classify
+from cataloom.session import under_split
 from cataloom.sources.assembled import assemble_ocr_text, assemble_transcript, dispatch_text, text_bearing
 from cataloom.sources.content import previews
 
@@ -104,7 +105,8 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, preview)`` of the library, every text read in full."""
     path = join_path(_own_folder(), F.concat(F.col("source"), F.lit(".md")))
-    return previews(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    documents = table(spark, sf_dir, "documents")
+    return previews(documents.select(path.alias("path"), "text"), spread=under_split(documents))
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +165,7 @@ def catalogue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = document_texts(spark, sf_dir).where("category = 'Documents'")
     return dispatch_text(
         files,
-        previews(documents, placed=False),
+        previews(documents, placed=False, spread=under_split(table(spark, sf_dir, "documents"))),
         assemble_ocr_text(placed(ocr_lines(spark, sf_dir), "Images")),
         assemble_transcript(placed(segments(spark, sf_dir), "Audio", "Video")),
     )

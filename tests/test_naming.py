@@ -66,7 +66,7 @@ def test_random_families(spark, slice_bits):
 def test_hot_name_and_long_runs(spark):
     """A third of all files share one name, another third are its numbers, some of which exist."""
     rnd = random.Random(9)
-    names = ["a.t"] * 2500 + [f"a_{k}.t" for k in range(1, 2501)] + [f"x{i}.t" for i in range(2500)]
+    names = ["a.t"] * 4300 + [f"a_{k}.t" for k in range(1, 2501)] + [f"x{i}.t" for i in range(2500)]
     taken = {("c", f"a_{k}.t") for k in range(2000, 5200)}
     for shuffled in (False, True):
         if shuffled:
