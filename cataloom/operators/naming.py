@@ -39,6 +39,7 @@ NAME = ["category", "filename"]
 SLICE_BITS = 20
 TILE_BITS = 12
 ISLAND_BITS = 16
+_NUMBERED_LOOK = r"_[1-9][0-9]{0,17}(\.[^.]*)?\z"
 _NUMBERED = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"
 
 _ANSWERS = (
@@ -90,15 +91,17 @@ def _queue_lengths(rows: DataFrame, taken: DataFrame | None) -> DataFrame:
 def _contests(names: DataFrame) -> DataFrame:
     """Numbered names whose parent may overflow into them.
 
-    A parent can overflow if it is asked for twice, exists already, or could
-    itself lose its name to *its* parent's overflow.
+    A parent can overflow if it is asked for twice, exists already, or looks
+    as if it could lose its own name to the overflow of *its* parent.
     """
-    parents = _with_parent(names).where("n > 0 and (n > 1 or taken or parent is not null)").select(
+    numbered_look = F.col("filename").rlike(_NUMBERED_LOOK)
+    parents = names.where((F.col("n") > 0) & ((F.col("n") > 1) | F.col("taken") | numbered_look)).select(
         "category",
         F.col("filename").alias("parent"),
         F.struct("n", "taken").alias("parent_queue"),
     )
-    return _with_parent(names).where("parent is not null").join(parents, ["category", "parent"])
+    # the cheap test first: most names are no numbered ones
+    return _with_parent(names.where(numbered_look)).join(parents, ["category", "parent"])
 
 
 def _ranked(rows: DataFrame, names: DataFrame, slice_bits: int, marks: DataFrame | None = None) -> DataFrame:
@@ -201,18 +204,30 @@ def _walk(overflow: int, own: bool, runs: list[tuple]) -> tuple[list, list]:
         place = k - s
         earlier = 0 if taken else max(ahead - own, 0)  # overflow places before the number's first file
         won = max(0, min(earlier - place + 1, until - k + 1, overflow - place + 1))
-        if won:
+        if won and lost and lost[-1][1] == k - 1 and lost[-1][2] == n:
+            lost[-1] = (lost[-1][0], k + won - 1, n)
+        elif won:
             lost.append((k, k + won - 1, n))
         place += won
         if place > overflow:
             break
         passed = until - k + 1 - won
-        if passed:
+        if passed and skips and skips[-1][0] == place:
+            skips[-1] = (place, skips[-1][1] + passed)
+        elif passed:
             skips.append((place, passed))
-            s += passed
+        s += passed
     return skips, lost
 
 
+def _chunks(category: str, name: str, start: int, end: int, n: int) -> list[tuple]:
+    """Numbers ``start`` to ``end`` as answer rows that each stand for a bounded number of names."""
+    size = 1 << ISLAND_BITS
+    return [
+        (category, name, None, None, low, min(low + size - 1, end), n) for low in range(start, end + 1, size)
+    ]
+
+
 def _settle(records: pd.DataFrame) -> pd.DataFrame:
     """Play out the contests of one family of names, from short names to long ones."""
     queues: dict[str, tuple[int, bool]] = {}
@@ -247,11 +262,9 @@ def _settle(records: pd.DataFrame) -> pd.DataFrame:
             queued = own_number.get(name, {})
             for k in sorted(k for k in queued if start <= k <= end):
                 given_away.add(queued[k])
-                if start < k:
-                    rows.append((category, name, None, None, start, k - 1, lost_n))
+                rows.extend(_chunks(category, name, start, k - 1, lost_n))
                 start = k + 1
-            if start <= end:
-                rows.append((category, name, None, None, start, end, lost_n))
+            rows.extend(_chunks(category, name, start, end, lost_n))
     out = pd.DataFrame(
         rows, columns=["category", "filename", "tile", "pieces", "lost_from", "lost_until", "lost_n"]
     )
