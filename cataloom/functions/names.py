@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,7 +71,7 @@ def join_path(*parts: Column) -> Column:
 
 def is_plain_text(path: Column) -> Column:
     """Suffix test on the path itself: ``A.TXT`` is not read as plain text."""
-    return F.endswith(path, F.lit(".txt")) | F.endswith(path, F.lit(".csv"))
+    return reduce(or_, [F.endswith(path, F.lit(suffix)) for suffix in PLAIN_TEXT_SUFFIXES])
 
 
 def is_slide_deck(path: Column) -> Column:
