@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cataloom.llm import token_count
+from cataloom.llm import language, quality, token_count
 from cataloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,3 +25,16 @@ def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.fold_of("doc_id") == 2)
+    found = language.by_folds(docs, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
+@query
+def op10_quality(spark, sf_dir):
+    found = quality.by_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
