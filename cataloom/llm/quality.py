@@ -7,8 +7,8 @@ with coarse shapes of its words (length, capitals, digits, signs, repetition), h
 Training uses at most ``MAX_ROWS`` labelled rows, those with the smallest hash of their id (a documented bound; scoring
 covers every row). They are dealt to ``SHARDS`` shards by that hash. A shard runs FTRL-Proximal over its rows ``EPOCHS``
 times in hash order; a grouping averages the shards' weights. A weight table has ``2^BITS`` numbers at most, whatever the
-corpus, and travels to the executors as one broadcast of that bounded size. Last, a constant is added to the log-odds so
-that training rows have their true mean label.
+corpus, and travels to the executors as one broadcast of that bounded size. Averaging shrinks the log-odds, so last a
+slope and a constant are fitted to the training rows (at most ``MAX_ROWS`` numbers).
 
 Null and empty texts have no feature but the constant one, so they get a score too. Repeated rows are scored alike. With
 no labelled row the score is 0.5. Only ``doc_id`` and ``text`` are read, so extra columns change nothing.
@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cataloom.llm.common import BASE, IS_SPACE, LOWER, MIX1, U64, hash_words, mix, segments, texts, word_bounds
 
@@ -86,7 +87,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
-    """Weights by place; the last number is the constant added to every log-odds."""
+    """Weights by place; the last two numbers are the slope and the constant of the log-odds."""
     order = F.xxhash64(F.lit("quality"), "doc_id")
     marked = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
     chosen = marked.orderBy(order, "doc_id").limit(MAX_ROWS)
@@ -94,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
         "doc_id", "text", "y", order.alias("o"), F.pmod(order, F.lit(SHARDS)).alias("shard")
     )
 
-    def shard(_, group: pd.DataFrame) -> pd.DataFrame:
+    def shard(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["o", "doc_id"])
         held = [(*features(None if t is None else t.encode()), y) for t, y in zip(group["text"], group["y"])]
         w = _ftrl(held)
@@ -103,13 +104,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
 
     averaged = rows.groupBy("shard").applyInPandas(shard, "at long, w double").groupBy("at").agg(F.sum("w").alias("w"))
     found = averaged.toPandas()  # 2^BITS rows at most
-    out = np.zeros((1 << BITS) + 1)
+    out = np.zeros((1 << BITS) + 2)
     out[found["at"].to_numpy(np.int64)] = found["w"].to_numpy() / SHARDS
+    out[-2] = 1.0
+    held = _odds(rows, out, ["y"]).toPandas()
+    if len(held):
+        out[-2:] = _line(held["odds"].to_numpy(), held["y"].to_numpy())
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``score`` and ``predicted`` for every row of ``docs``."""
+def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope and constant that fit labels to log-odds, by Newton steps on the ridge-penalised likelihood."""
+    both, at = np.stack([x, np.ones_like(x)]), np.array([1.0, 0.0])
+    ridge = np.diag([0.5, 0.01])
+    for _ in range(50):
+        p = _sigmoid(at @ both)
+        step = np.linalg.solve((both * (p * (1 - p))) @ both.T + ridge, both @ (p - y) + ridge @ (at - [1.0, 0.0]))
+        at = at - np.clip(step, -1, 1)
+    return at
+
+
+def _odds(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``odds``, the log-odds, for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def dot(batches):
@@ -118,16 +134,18 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
             odds = np.zeros(batch.num_rows)
             for i, text in enumerate(texts(batch)):
                 at, value = features(text)
-                odds[i] = w[at] @ value + w[-1]
-            p = _sigmoid(odds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
-                names=[*keep, "score", "predicted"],
-            )
-
-    kept = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return kept.mapInArrow(dot, f"{schema}, score double, predicted int")
+                odds[i] = (w[at] @ value) * w[-2] + w[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(odds)], names=[*keep, "odds"])
+
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("odds", T.DoubleType())])
+    return docs.select(*keep, "text").mapInArrow(dot, schema)
+
+
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``score`` and ``predicted`` for every row of ``docs``."""
+    p = 1 / (1 + F.exp(-F.col("odds")))
+    found = _odds(docs, weights, keep).withColumn("score", p).drop("odds")
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def held_out() -> Column:
