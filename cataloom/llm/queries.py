@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import language, quality, token_count
+from cataloom.llm import language, mixing, quality, token_count
 from cataloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,44 @@ def op2_language_id(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     found = quality.by_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op9_mixture(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+ORACLE["op9_mixture"] = r"""
+with rows as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as o
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place
+  from rows group by source),
+ranked as (
+  select *, [3, 1, 2][place % 3 + 1] as weight, [0.0, -0.5, 0.5][place % 3 + 1]::double as slope from sources),
+filled as (
+  select *, ((sum(source_size) over ())::double * 1.5 - 2 * coalesce(sum(source_size) over before, 0)::double)
+              / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+  from ranked window before as (order by source_size::double / weight, place rows between unbounded preceding and 1 preceding)),
+common as (
+  select arg_min(level, (source_size::double / weight, place)) as level from filled where level * weight <= 2 * source_size),
+targets as (
+  select f.source, source_size, slope,
+         coalesce(least(c.level * weight, source_size * 2.0::double), source_size * 2.0::double)::double as target
+  from filled f cross join common c),
+placed as (
+  select r.*, t.source_size, t.slope, t.target, round(t.target)::bigint as wanted,
+         coalesce(sum(size) over (partition by r.source order by o, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as begin1
+  from rows r join targets t on r.source is not distinct from t.source),
+taken as (
+  select *, greatest(least(size, wanted - begin1), 0) as once, greatest(least(size, wanted - begin1 - source_size), 0) as more from placed),
+shares as (
+  select *, least((begin1 + once / 2.0::double) / wanted, 1.0::double) as a1,
+            least((begin1 + source_size + more / 2.0::double) / wanted, 1.0::double) as a2 from taken)
+select doc_id, size, source_size, target, (once + more)::bigint as taken,
+  case when once > 0 then case when slope = 0 then a1 else (sqrt((1 - slope) * (1 - slope) + 4 * slope * a1) - (1 - slope)) / (2 * slope) end end as position,
+  case when more > 0 then case when slope = 0 then a2 else (sqrt((1 - slope) * (1 - slope) + 4 * slope * a2) - (1 - slope)) / (2 * slope) end end as again
+from shares
+"""
