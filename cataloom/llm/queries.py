@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import language, mixing, quality, token_count
+from cataloom.llm import language, line_dedup, mixing, quality, secrets, token_count
 from cataloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,74 @@ select doc_id, size, source_size, target, (once + more)::bigint as taken,
   case when more > 0 then case when slope = 0 then a2 else (sqrt((1 - slope) * (1 - slope) + 4 * slope * a2) - (1 - slope)) / (2 * slope) end end as again
 from shares
 """
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_line_dedup"] = """
+with texts as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+windows as (
+  select doc_id, pos, array_to_string(lines[pos : pos + 2], chr(10)) as w
+  from (select doc_id, lines, unnest(range(1, len(lines) - 1)) as pos from texts)),
+later as (
+  select doc_id, pos from (select doc_id, pos, row_number() over (partition by w order by doc_id, pos) as nth from windows)
+  where nth > 1),
+covered as (select distinct doc_id, pos + k as pos from later, (values (0), (1), (2)) as ks(k)),
+lines as (select doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as pos from texts),
+kept as (
+  select doc_id, count(*) as n, string_agg(line, chr(10) order by pos) as text
+  from lines anti join covered using (doc_id, pos) group by doc_id)
+select t.doc_id, case when t.text is null then null else coalesce(k.text, '') end as text,
+       coalesce(len(t.lines), 0)::bigint as n_lines, (coalesce(len(t.lines), 0) - coalesce(k.n, 0))::bigint as n_removed
+from texts t left join kept k using (doc_id)
+"""
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def _spans_sql(kind: str, k: int, pattern: str, good: str) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  select doc_id, '{kind}' as kind, {k} as k, start, start + len(m) as e from (
+    select doc_id, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+      coalesce(list_sum(list_transform(gs[1:i], lambda g: len(g))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m2: len(m2))), 0)))::bigint as start
+    from (select doc_id, regexp_extract_all(text, '{pattern}') as ms, string_split_regex(text, '{pattern}') as gs
+          from documents where regexp_matches(text, '{pattern}')))
+  where {good}"""
+
+
+_PATTERNS = {
+    "assign": (
+        r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        r"""len(regexp_extract(m, '["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6""",
+    ),
+    "access": ("AKIA[A-Z0-9]+", "len(m) >= 20"),
+    "hex": ("[0-9a-f]+", "len(m) >= 24"),
+    "ident": (
+        r"""(?:[Uu][Ss][Ee][Rr][Nn][Aa][Mm][Ee]|[Uu][Ss][Ee][Rr]|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]+""",
+        "true",
+    ),
+    "secret": ("[A-Za-z0-9+/]{20,200}", "regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[0-9]')"),
+    "endpoint": (r"""https?://[^\x00-\x20"'<>]+|[A-Za-z0-9][A-Za-z0-9.-]*:[0-9]{2,5}/""", "true"),
+}
+ORACLE["op6_secrets"] = f"""
+with parts as ({" union all ".join(_spans_sql(kind, k, *p) for k, (kind, p) in enumerate(_PATTERNS.items()))}),
+roles as (select *, case when kind in ('access', 'ident') then 'i' when kind = 'endpoint' then 'e' else 's' end as role from parts),
+kept as (
+  select * from roles p where k < 3 or exists (
+    select 1 from roles q where q.doc_id = p.doc_id and q.role <> p.role and p.start <= q.e + 200 and q.start <= p.e + 200)),
+shown as (
+  select doc_id, count(*) filter (k = 0) as a, count(*) filter (k = 1) as b, count(*) filter (k = 2) as c,
+         coalesce(string_agg(kind || ':' || start || ':' || e, ',' order by start, k) filter (k < 3), '') as base,
+         string_agg(kind || ':' || start || ':' || e, ',' order by start, k) as spans
+  from kept group by doc_id)
+select d.doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(b, 0)::bigint as n_access, coalesce(c, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents d left join shown using (doc_id)
+"""
