@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from cataloom.llm.common import BASE, IS_SPACE, LOWER, MIX1, U64, hash_words, mix, segments, texts, word_bounds
 
-BITS, MAX_ROWS, SHARDS, EPOCHS = 18, 40_000, 8, 3
+BITS, MAX_ROWS, SHARDS, EPOCHS = 18, 20_000, 8, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 THRESHOLD = 0.3
 
@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
     """Weights by place; the last two numbers are the slope and the constant of the log-odds."""
     order = F.xxhash64(F.lit("quality"), "doc_id")
     marked = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    chosen = marked.orderBy(order, "doc_id").limit(MAX_ROWS)
+    # MAX_ROWS ids at most, so that unchosen texts need not move
+    chosen = F.broadcast(marked.orderBy(order, "doc_id").limit(MAX_ROWS))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(
         "doc_id", "text", "y", order.alias("o"), F.pmod(order, F.lit(SHARDS)).alias("shard")
     )
