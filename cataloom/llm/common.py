@@ -47,6 +47,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 WORD_POWERS = powers(BASE, FOLD)
+_VALUE = np.where(IS_SPACE, 0, np.arange(1, 257)).astype(U64)
 
 
 def segments(data: bytes, size: int = SEGMENT) -> Iterator[bytes]:
@@ -73,15 +74,15 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     if not len(starts):
         return np.zeros(0, U64)
     size = ends - starts
-    offset = np.arange(len(buf), dtype=np.int64)
-    gaps = np.repeat(starts, np.diff(np.append(starts, len(buf))))
     head = int(starts[0])
-    offset = offset[head:] - gaps
-    value = buf[head:].astype(U64) + U64(1)
-    value[IS_SPACE[buf[head:]]] = 0
-    value *= WORD_POWERS[offset % FOLD]
-    if int(size.max()) > FOLD:
-        value = np.where(value != 0, mix(value + (offset // FOLD).astype(U64)), U64(0))
+    offset = np.arange(head, len(buf)) - np.repeat(starts, np.diff(starts, append=len(buf)))
+    value = _VALUE[buf[head:]]
+    if int(size.max()) <= FOLD:
+        # white space behind a word has value 0, wherever it stands
+        value *= WORD_POWERS[np.minimum(offset, FOLD - 1)]
+    else:
+        spread = mix(value + (offset // FOLD).astype(U64)) * WORD_POWERS[offset % FOLD]
+        value = np.where(value != 0, spread, U64(0))
     return mix(np.add.reduceat(value, starts - head) + size.astype(U64) * MIX2)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import language, line_dedup, mixing, quality, secrets, token_count
+from cataloom.llm import decontaminate, language, line_dedup, mixing, quality, secret_scan, token_count
 from cataloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +107,7 @@ from texts t left join kept k using (doc_id)
 
 @query
 def op6_secrets(spark, sf_dir):
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def _spans_sql(kind: str, k: int, pattern: str, good: str) -> str:
@@ -150,3 +150,13 @@ select d.doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(b, 0)::bigint as n
        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from documents d left join shown using (doc_id)
 """
+
+
+@query
+def op3_decontaminate(spark, sf_dir):
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    items = F.transform("hits", lambda h: h["item_id"])
+    return found.select(
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("bigint").alias("n_items"),
+        items.alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["edits"])).alias("least_edits"),
+    )
