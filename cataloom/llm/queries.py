@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import decontaminate, language, line_dedup, mixing, quality, secret_scan, token_count
+from cataloom.llm import decontaminate, jaccard_join, language, line_dedup, mixing, quality, secret_scan, token_count
 from cataloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,28 @@ def op3_decontaminate(spark, sf_dir):
         "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("bigint").alias("n_items"),
         items.alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["edits"])).alias("least_edits"),
     )
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, coalesce(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end, []) as s
+  from words),
+shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach as (
+  select doc_id, doc_id as other from documents
+  union select r.doc_id, p.b from reach r join pairs p on p.a = r.other)
+select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id
+from sets s join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
+"""
