@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import decontaminate, jaccard_join, language, line_dedup, mixing, quality, secret_scan, token_count
+from cataloom.llm import decontaminate, fingerprint, jaccard_join, language, line_dedup, mixing, quality, secret_scan, token_count
 from cataloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,8 @@ reach as (
 select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id
 from sets s join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
 """
+
+
+@query
+def op7_fingerprints(spark, sf_dir):
+    return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
