@@ -140,6 +140,12 @@ def on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return found.drop("__doc_id", "__th")
 
 
+def aside(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, list[str], list]:
+    """``docs`` with every column but ``own`` renamed, so that no name clashes; the new names, and the columns to select back."""
+    names = [c if c in own else f"c_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names, [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that a lost executor costs a reread and no recomputation."""
     spark: SparkSession = df.sparkSession

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cataloom.llm.common import BASE, MIX1, U64, mix, texts, words
+from cataloom.llm.common import BASE, MIX1, U64, aside, mix, texts, words
 
 RATE, WALKS, BITS, BLOCK_WORDS = 0.2, 40, 3, 2_000_000
 _FILTER_BITS = 20
@@ -240,4 +240,5 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    return find(docs, benchmark, docs.columns).where("size(hits) = 0").select(*docs.columns)
+    renamed, names, back = aside(docs, ("text",))
+    return find(renamed, benchmark, names).where("size(hits) = 0").select(*back)

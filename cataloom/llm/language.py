@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cataloom.llm.common import BASE, U64, written
+from cataloom.llm.common import BASE, U64, aside, written
 
 ORDER, CHAR_BITS, HASH_BITS, MAX_LANGUAGES = 5, 12, 20, 256
 DISCOUNT, SHARPNESS, MARGIN, SHORT = 0.75, 4.0, 1.0, 6.0
@@ -297,3 +297,9 @@ def by_folds(docs: DataFrame, keep: list[str]) -> DataFrame:
     fold = fold_of("doc_id")
     learn = docs.select("text", "lang", fold.alias("fold"))
     return identify(docs, learn.where("fold in (0, 3)"), learn.where("fold = 1"), keep)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text is of a known language; its columns unchanged."""
+    renamed, names, back = aside(docs, ("doc_id", "text", "lang"))
+    return by_folds(renamed, names).where("not rejected").select(*back)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import keyed, on_key
+from cataloom.llm.common import aside, keyed, on_key
 
 WINDOW = 3
 
@@ -82,8 +82,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """``docs`` with the remaining text, its columns unchanged."""
-    columns = docs.columns
-    found = _applied(docs.withColumn("th", F.xxhash64("text")))
+    """``docs`` with the remaining text, its columns unchanged but for ``text`` and ``n_chars``."""
+    renamed, names, _ = aside(docs, ("doc_id", "text"))
+    found = _applied(renamed.withColumn("th", F.xxhash64("text")))
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
-    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in columns))
+    return found.select(*(new.get(c, F.col(n)).alias(c) for n, c in zip(names, docs.columns)))

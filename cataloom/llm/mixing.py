@@ -67,8 +67,9 @@ def _position(at: Column) -> Column:
 def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row with ``size, source_size, target, taken, position, again`` in the order of the mix.
 
-    ``position`` is when the document is first read (null: never), ``again`` when it is read once more.
+    Columns of the operator replace those of ``docs`` with the same name. ``position`` is when the document is first read (null: never), ``again`` when it is read once more.
     """
+    keep = [c for c in keep if c not in ("size", "source_size", "target", "taken", "position", "again")]
     extra = [c for c in keep if c not in ("doc_id", "source")]
     # 60 bits of a digest, which other engines have too
     order = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import decontaminate, fingerprint, jaccard_join, language, line_dedup, mixing, quality, secret_scan, token_count
+from cataloom.llm import decontaminate, fingerprint, jaccard_join, language, line_dedup, mixing, quality, secret_scan, suffix_dedup, token_count
 from cataloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +190,8 @@ from sets s join (select doc_id, min(other) as component_id from reach group by
 @query
 def op7_fingerprints(spark, sf_dir):
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
