@@ -25,6 +25,42 @@ PLAIN_TEXT_SUFFIXES = [".txt", ".csv"]
 SLIDE_SUFFIX = ".pptx"
 
 
+#: Bytes of a file name that are no UTF-8 are shown as U+F780 to U+F7FF; a mark stands before those that a name holds itself.
+_MARK, _FIRST, _LAST = "\uf77f", 0xF780, 0xF7FF
+
+
+def as_shown(name: str) -> str:
+    """A name as the file system gives it, in characters that every table can hold."""
+    if name.isascii():
+        return name
+    out = []
+    for char in name:
+        point = ord(char)
+        if 0xDC80 <= point <= 0xDCFF:
+            out.append(chr(point - 0xDC80 + _FIRST))
+        elif char == _MARK or _FIRST <= point <= _LAST:
+            out.append(_MARK + char)
+        else:
+            out.append(char)
+    return "".join(out)
+
+
+def on_disk(path: str) -> str:
+    """The name or path that ``as_shown`` has shown, for calls to the file system."""
+    if path.isascii():
+        return path
+    out, marked = [], False
+    for char in path:
+        if marked or not (char == _MARK or _FIRST <= ord(char) <= _LAST):
+            out.append(char)
+            marked = False
+        elif char == _MARK:
+            marked = True
+        else:
+            out.append(chr(ord(char) - _FIRST + 0xDC80))
+    return "".join(out)
+
+
 def raw_extension(filename: Column) -> Column:
     """Last dot onwards, case kept; dots that lead the name don't count."""
     return F.regexp_extract(filename, r"(?s)^\.*[^.].*(\.[^.]*)\z", 1)

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 #: The 29 characters that count as white space: Unicode White_Space plus U+001C..U+001F.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
-WORD = r"\p{L}+"
+#: Runs of letters, marks and digits that hold a letter; written so that no regex engine has to go back.
+WORD = r"[\p{M}\p{N}]*\p{L}[\p{L}\p{M}\p{N}]*"
 PREFIX_CHARS = 5000
 PREVIEW_WORDS = 500
 
 
 def decode(content: Column) -> Column:
     """UTF-8 bytes to text: undecodable bytes dropped, line ends folded to ``\\n``."""
-    text = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    text = content.cast("string")
+    # U+FFFD marks bad bytes; those that the file itself holds are put aside meanwhile
+    aside = F.replace(F.replace(text, F.lit("\ufdd0"), F.lit("\ufdd0\ufdd1")), F.lit("\ufffd"), F.lit("\ufdd0\ufdd2"))
+    good = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    back = F.replace(F.replace(good, F.lit("\ufdd0\ufdd2"), F.lit("\ufffd")), F.lit("\ufdd0\ufdd1"), F.lit("\ufdd0"))
+    text = F.when(F.is_valid_utf8(text), text).otherwise(back)
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
@@ -41,7 +47,7 @@ def word_count(squeezed: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Letter runs, in order."""
+    """Runs of letters, marks and digits with a letter among them, in order."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 

@@ -24,6 +24,11 @@ def term_frequency(rows: DataFrame) -> DataFrame:
     )
 
 
+def word_frequency(rows: DataFrame) -> DataFrame:
+    """``(path, text, times, pos)``: each word of a file once, with its first place."""
+    return rows.groupBy("path", "text").agg(F.count("*").alias("times"), F.min("pos").alias("pos"))
+
+
 def rank_keywords(counts: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
     """The ``k`` most frequent lemmas per file; the one seen first wins a tie."""
     order = Window.partitionBy("path").orderBy(F.desc("n"), "first_pos")
@@ -43,8 +48,10 @@ def top_keywords(texts: DataFrame, lexicon: DataFrame, k: int = TOP_KEYWORDS) ->
     is the preview that should move.) Other partitionings work too and cost a
     shuffle of the counts.
     """
-    rows = lexicon_lookup(tokens(texts), lexicon)
-    return rank_keywords(term_frequency(token_filter(rows)), k)
+    # a word is looked up once for each file that has it
+    rows = token_filter(lexicon_lookup(word_frequency(tokens(texts)), lexicon))
+    counts = rows.groupBy("path", "lemma").agg(F.sum("times").alias("n"), F.min("pos").alias("first_pos"))
+    return rank_keywords(counts, k)
 
 
 def keyword_strings(texts: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import errno
+import filecmp
 import os
 import shutil
+import stat
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.functions.names import join_path
+from cataloom.functions.names import join_path, on_disk
 from cataloom.operators.naming import assign_names
 from cataloom.schemas import COPY_LOG
 from cataloom.session import materialise
@@ -21,6 +24,8 @@ PLANNED = "planned"
 MISSING_SOURCE = "missing_source"
 COPIED = "copied"
 FAILED = "failed"
+#: A source folder that could not be listed: no copy, and no retirement either.
+SCAN_ERROR = "scan_error"
 
 
 def default_destination(folder: str) -> str:
@@ -88,31 +93,59 @@ def copy_status(plan: DataFrame) -> DataFrame:
     return plan.groupBy("status").agg(F.count("*").alias("n_files"))
 
 
-def write_layout(plan: DataFrame, contents: DataFrame, folder: str, mode: str = "errorifexists") -> None:
-    """Write the planned files with their bytes as a table partitioned by category.
+def write_layout(plan: DataFrame, contents: DataFrame, folder: str, mode: str = "errorifexists") -> DataFrame:
+    """Write the planned files with their bytes as a table partitioned by category; return the log.
 
     ``contents`` is ``(path, content)``. The bytes move once at most, for the
     join on ``path``, which spreads evenly because paths are unique. They are
     written from there: a hot category is written by all tasks, and nothing is
-    gathered by category.
+    gathered by category. A planned file without content is not written, and
+    ``failed`` in the log.
     """
+    held = contents.where("content is not null")
     (
         plan.where(F.col("status") == PLANNED)
         .select("path", "category", "dest_path", "length")
-        .join(contents.select("path", "content"), "path", "left")
+        .join(held.select("path", "content"), "path")
         .write.mode(mode)
         .partitionBy("category")
         .parquet(folder)
     )
+    there = plan.join(held.select("path", F.lit(True).alias("there")), "path", "left")
+    lacking = (F.col("status") == PLANNED) & F.col("there").isNull()
+    status = F.when(lacking, FAILED).when(F.col("status") == PLANNED, COPIED).otherwise(F.col("status"))
+    return there.select("path", "dest_path", status.alias("status"), F.when(lacking, "no content").alias("error"))
+
+
+def _publish(part: str, target: str) -> None:
+    """Give a finished copy its name, which must be free."""
+    try:
+        os.link(part, target)
+    except OSError as problem:
+        if problem.errno not in (errno.EPERM, errno.ENOTSUP, errno.EOPNOTSUPP, errno.ENOSYS, errno.EMLINK):
+            raise
+        with open(part, "rb") as bytes_in, open(target, "xb") as bytes_out:
+            shutil.copyfileobj(bytes_in, bytes_out)
+        shutil.copystat(part, target)
+
+
+def _own_earlier_try(source: str, target: str) -> bool:
+    """Whether the file at the target is a finished copy of this source: same bytes and time, a file and no link."""
+    a, b = os.stat(source), os.lstat(target)
+    alike = stat.S_ISREG(b.st_mode) and a.st_size == b.st_size and abs(a.st_mtime - b.st_mtime) < 1e-3
+    return alike and filecmp.cmp(source, target, shallow=False)
 
 
 def _copy_one(source: str, target: str) -> None:
+    """Copy without ever replacing a file: a name that has been taken since planning is an error."""
     os.makedirs(os.path.dirname(target), exist_ok=True)
-    # a task that is tried again, or twice at once, replaces the whole file or nothing
     part = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}.part")
     try:
         shutil.copy2(source, part)
-        os.replace(part, target)
+        _publish(part, target)
+    except FileExistsError:
+        if not _own_earlier_try(source, target):
+            raise
     finally:
         if os.path.exists(part):
             os.remove(part)
@@ -125,7 +158,7 @@ def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             error = None
             if status == PLANNED:
                 try:
-                    _copy_one(source, target)
+                    _copy_one(on_disk(source), on_disk(target))
                     status = COPIED
                 except Exception as problem:  # noqa: BLE001 - recorded, and the run goes on
                     status, error = FAILED, f"{type(problem).__name__}: {problem}"

@@ -7,8 +7,8 @@ destination and names given out earlier both count as taken.
 How that becomes a Spark job
 ----------------------------
 * All files that ask for one name form a queue. A file's place in its queue
-  (``rank``, from 0) is a distributed running count; the queue of a hot name
-  is counted in slices of ``2**slice_bits`` consecutive ``scan_seq`` values.
+  (``rank``, from 0) is a distributed running count, in slices of
+  ``2**slice_bits`` consecutive ``scan_seq`` values.
 * As long as nobody else asks for ``name_k.ext``, the suffix *is* the rank, or
   rank + 1 where the name exists at the destination.
 * Only where ``name.ext`` overflows and some ``name_k.ext`` is also asked for,
@@ -104,15 +104,16 @@ def _contests(names: DataFrame) -> DataFrame:
     return _with_parent(names.where(numbered_look)).join(parents, ["category", "parent"])
 
 
-def _ranked(rows: DataFrame, names: DataFrame, slice_bits: int, marks: DataFrame | None = None) -> DataFrame:
+def _ranked(rows: DataFrame, slice_bits: int, marks: DataFrame | None = None) -> DataFrame:
     """``ahead``: how many files are further ahead in the same queue.
 
     ``marks`` take a place in a queue without being counted; they tell how
-    many files had queued at that moment. Names with more files than one slice
-    holds are counted slice by slice. There is at most one such name per
-    ``2**slice_bits`` files, so their list stays small enough to broadcast
-    (40 billion files: under 40 000 names).
+    many files had queued at that moment. Every queue is counted in slices of
+    ``2**slice_bits`` consecutive ``scan_seq`` values, files and marks alike, so
+    that a task holds one slice of a hot name at most. Rows move once, by name
+    and slice; the counts per slice are narrow and find them in place.
     """
+    part = F.shiftright("scan_seq", slice_bits)
     events = rows.select(*NAME, "scan_seq", F.lit(1).alias("weight"), F.struct("*").alias("row"))
     if marks is not None:
         events = events.unionByName(
@@ -125,27 +126,19 @@ def _ranked(rows: DataFrame, names: DataFrame, slice_bits: int, marks: DataFrame
             ),
             allowMissingColumns=True,
         )
-    hot = names.where(F.col("n") > (1 << slice_bits)).select(*NAME, F.lit(True).alias("hot"))
-    keys = NAME
-    start = F.lit(0)
-    if not hot.isEmpty():
-        part = F.when(F.col("hot"), F.shiftright("scan_seq", slice_bits)).otherwise(F.lit(0).cast("long"))
-        events = events.join(F.broadcast(hot), NAME, "left").withColumn("slice", part)
-        keys = [*NAME, "slice"]
-        earlier = Window.partitionBy(*NAME).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        starts = (
-            events.where("hot")
-            .groupBy(*keys)
-            .agg(F.sum("weight").alias("n"))
-            .select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-        )
-        # hashed by name and slice, not by name: a hot queue spreads over many tasks
-        events = events.drop("hot").repartition(*keys).join(starts, keys, "left")
-        start = F.coalesce("start", F.lit(0))
+    events = events.withColumn("slice", part)
+    keys = [*NAME, "slice"]
+    earlier = Window.partitionBy(*NAME).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # marks are counted too, as 0: one may stand in a slice without files
+    starts = (
+        events.groupBy(*keys)
+        .agg(F.sum("weight").alias("n"))
+        .select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    )
     here = Window.partitionBy(*keys).orderBy("scan_seq").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("weight").over(here), F.lit(0))
     columns = [*NAME, "row"] if marks is None else [*NAME, "row", "mark"]
-    return events.select(*columns, (inside + start).cast("long").alias("ahead"))
+    placed = events.withColumn("inside", F.coalesce(F.sum("weight").over(here), F.lit(0))).join(starts, keys)
+    return placed.select(*columns, (F.col("inside") + F.col("start")).cast("long").alias("ahead"))
 
 
 def _runs(contests: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -277,17 +270,20 @@ def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: in
     ``rows`` needs ``category``, ``filename`` and a unique, gap-poor
     ``scan_seq`` such as ``with_scan_seq`` gives;
     ``taken`` lists ``(category, filename)`` at the destination. The queue
-    lengths are counted at once (one row per name, checkpointed), because the
-    rest of the plan depends on whether there are hot names and contests at all.
+    lengths of the names that can matter are counted at once and checkpointed,
+    because the rest of the plan depends on whether there are contests at all.
     """
-    names = materialise(_queue_lengths(rows, taken))
+    lengths = _queue_lengths(rows, taken)
+    # a name asked for once, free and without a number never matters
+    matters = (F.col("n") > 1) | F.col("taken") | F.col("filename").rlike(_NUMBERED_LOOK)
+    names = materialise(lengths.where(matters))
     contests = materialise(_contests(names))
-    files = _ranked(rows, names, slice_bits).withColumn("tile", F.shiftright("ahead", TILE_BITS))
+    files = _ranked(rows, slice_bits).withColumn("tile", F.shiftright("ahead", TILE_BITS))
     answers = []
     if taken is not None:
         answers.append(_moved_up(names, contests))
     if not contests.isEmpty():
-        answers.append(_settled(rows, names, contests, slice_bits))
+        answers.append(_settled(rows, contests, slice_bits))
     suffix = F.col("ahead")
     if answers:
         files = files.join(reduce(DataFrame.unionByName, answers), [*NAME, "tile"], "left")
@@ -300,12 +296,12 @@ def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: in
     )
 
 
-def _settled(rows: DataFrame, names: DataFrame, contests: DataFrame, slice_bits: int) -> DataFrame:
+def _settled(rows: DataFrame, contests: DataFrame, slice_bits: int) -> DataFrame:
     """Tiles for all names in a contest."""
     parents = contests.select("category", F.col("parent").alias("filename")).distinct()
     queues = rows.select(*NAME, "scan_seq").join(parents, NAME, "left_semi")
     marks = contests.where("n > 0 and not taken")
-    ranked = _ranked(queues, names, slice_bits, marks)
+    ranked = _ranked(queues, slice_bits, marks)
     answers = materialise(
         _records(contests, ranked)
         .withColumn("family", _family(F.coalesce("filename", "parent")))

@@ -16,7 +16,7 @@ UNKNOWN_TAG = "NOUN"
 
 
 def tokens(texts: DataFrame, *keep: str) -> DataFrame:
-    """``(path, pos, text)``: one row per letter run of ``preview``."""
+    """``(path, pos, text)``: one row per word of ``preview``."""
     return texts.select(
         "path", *keep, F.posexplode(words(F.col("preview"))).alias("pos", "text")
     ).withColumn("pos", F.col("pos").cast("long"))

@@ -8,27 +8,35 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cataloom.functions.names import is_plain_text
 from cataloom.functions.text import is_blank, word_preview
 from cataloom.operators.classify import classify
 from cataloom.operators.keywords import keyword_eligible, top_keywords
-from cataloom.operators.layout import copy_files, default_destination, plan_layout
-from cataloom.operators.match import THRESHOLD, Key, itself, match_categories
+from cataloom.operators.layout import SCAN_ERROR, copy_files, default_destination, plan_layout
+from cataloom.operators.match import THRESHOLD, Key, itself, match_categories, vectors_from_model, without_vector
 from cataloom.operators.summary import category_breakdown, run_summary
 from cataloom.operators.tokens import query_targets
-from cataloom.operators.verify import retire_list, verify_copies
+from cataloom.operators.verify import failed_verifications, retire_list, verify_copies
 from cataloom.session import configure, materialise
 from cataloom.sources.assembled import dispatch_text, text_bearing
 from cataloom.sources.content import extract_with, read_text_prefix
-from cataloom.sources.listing import scan_files
+from cataloom.sources.listing import scan, top_level, with_scan_seq
 
 
 @dataclass(frozen=True)
 class Organised:
-    """Results of a run; the last three exist only after copying."""
+    """Results of a run; ``targets`` and ``unmatched`` exist with a query only, those from ``log`` on after copying only.
+
+    ``unmatched`` holds the targets without a vector, ``failed`` the copies that did not verify.
+    """
 
     categorised: DataFrame
     breakdown: DataFrame
     plan: DataFrame
+    targets: DataFrame | None = None
+    unmatched: DataFrame | None = None
+    log: DataFrame | None = None
+    failed: DataFrame | None = None
     verification: DataFrame | None = None
     retire: DataFrame | None = None
     summary: DataFrame | None = None
@@ -55,11 +63,14 @@ def categorise(
     key: Key = itself,
     keywords: DataFrame | None = None,
     target_vectors: DataFrame | None = None,
+    model: Callable | None = None,
 ) -> DataFrame:
     """Classified ``files`` with the category that the query gives them, if there is a query.
 
     ``texts`` is ``(path, preview)``. ``keywords`` are worked out only if a
     query is given and they are not passed in. Without a query no text is read.
+    ``model`` (see ``vectors_from_model``) takes the place of ``term_vectors``:
+    it is called once for each distinct keyword and target.
     """
     if not query or not query.strip():
         return files.withColumns(
@@ -68,6 +79,10 @@ def categorise(
     if keywords is None:
         keywords = top_keywords(texts, lexicon)
     targets = sentence_targets(files.sparkSession, query, lexicon)
+    if model is not None:
+        keywords = materialise(keywords)
+        terms = keywords.select(F.col("keyword").alias("term")).union(targets.select("label"))
+        term_vectors = materialise(vectors_from_model(terms, model))
     return match_categories(files, keywords, targets, term_vectors, threshold, key, target_vectors)
 
 
@@ -90,9 +105,17 @@ def organise(
     categorised = categorise(classify(files), texts, query, lexicon, term_vectors, **options)
     if query and query.strip():
         categorised = materialise(categorised)
-    return Organised(
-        categorised, category_breakdown(categorised), plan_layout(categorised, dest, existing, sources)
-    )
+    plan = plan_layout(categorised, dest, existing, sources)
+    return Organised(categorised, category_breakdown(categorised), plan, *_named(files.sparkSession, query, lexicon, term_vectors, options))
+
+
+def _named(spark, query, lexicon, term_vectors, options) -> tuple[DataFrame | None, DataFrame | None]:
+    """The targets that a query names, and those without a vector in a given table."""
+    if not query or not query.strip():
+        return None, None
+    targets = sentence_targets(spark, query, lexicon)
+    vectors = options.get("target_vectors") or term_vectors
+    return targets, None if vectors is None else without_vector(targets, "label", vectors, options.get("key", itself))
 
 
 def organise_folder(
@@ -106,39 +129,57 @@ def organise_folder(
     extract: Callable[[str], str] | None = None,
     images: DataFrame | None = None,
     media: DataFrame | None = None,
+    decks: DataFrame | None = None,
     **options,
 ) -> Organised:
     """Scan, categorise, copy, verify and list the originals that may be retired.
 
     Plain text is read from the files. Other documents go through ``extract``
     (a function from path to text, run on the executors); pictures and sound
-    come as ``(path, preview)`` tables. Originals are never removed here.
+    come as ``(path, preview)`` tables, slide decks too. Originals are never
+    removed here. Folders that cannot be read stop the run at the destination,
+    and keep the gate closed at the source.
     """
     configure(spark)
     folder = folder.rstrip("/")
     dest = (dest or default_destination(folder)).rstrip("/")
-    files = classify(scan_files(spark, folder, include_subfolders))
+    depth = None if include_subfolders else 1
+    found = scan(spark, folder, depth)
+    files = classify(with_scan_seq(found.files() if include_subfolders else top_level(found)))
     texts = None
     if query and query.strip():
         plain = read_text_prefix(files)
         documents = plain
         if extract is not None:
-            others = files.where("category = 'Documents'").join(plain.select("path"), "path", "left_anti")
+            others = files.where((F.col("category") == "Documents") & ~is_plain_text(F.col("path")))
             documents = plain.unionByName(extract_with(others, extract))
         # checkpointed, because every extractor call is worth keeping
         cut = materialise(documents.select("path", word_preview(F.col("text")).alias("preview")))
-        texts = keyword_eligible(dispatch_text(text_bearing(files), cut, images, media))
+        texts = keyword_eligible(dispatch_text(text_bearing(files), cut, images, media, decks))
     categorised = materialise(categorise(files, texts, query, lexicon, term_vectors, **options))
-    existing = scan_files(spark, dest)
-    plan = materialise(plan_layout(categorised, dest, existing, scan_files(spark, folder, include_subfolders)))
+    # names are taken by files, folders and links to folders directly in dest/<category>/; a broken link takes none
+    there = scan(spark, dest, 2)
+    if not there.errors.isEmpty():
+        raise RuntimeError(f"cannot read {there.errors.first().path} at the destination")
+    existing = there.entries.where("kind <> 'broken'")
+    plan = materialise(plan_layout(categorised, dest, existing, scan(spark, folder, depth).files(broken=False)))
     log = copy_files(plan)
-    sources = scan_files(spark, folder, include_subfolders)
-    verification = verify_copies(log, sources, scan_files(spark, dest))
+    after = scan(spark, folder, depth)
+    unread = found.errors.unionAll(after.errors).distinct()
+    log = log.unionByName(unread.select("path", F.lit(SCAN_ERROR).alias("status"), "error"), allowMissingColumns=True)
+    sources = after.files(broken=False)
+    # read by the gate, the list and the counts
+    verification = materialise(verify_copies(log, sources, scan(spark, dest, 2).files()))
     retire = retire_list(log, verification, sources)
+    targets, unmatched = _named(spark, query, lexicon, term_vectors, options)
     return Organised(
         categorised,
         category_breakdown(categorised),
         plan,
+        targets,
+        unmatched,
+        log,
+        failed_verifications(verification),
         verification,
         retire,
         run_summary(log, verification, retire),

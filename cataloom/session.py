@@ -50,12 +50,3 @@ def materialise(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def under_split(scan: DataFrame) -> bool:
-    """Whether a plain table scan has fewer splits than there are cores.
-
-    So it is with a table stored as one row group. Only for a scan: the number
-    of partitions behind a shuffle is not known before it has run.
-    """
-    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism

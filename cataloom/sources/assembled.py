@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cataloom.functions.names import TEXT_BEARING
+from cataloom.functions.names import TEXT_BEARING, is_slide_deck
 from cataloom.functions.text import PREVIEW_WORDS, squeeze, word_count
 
 CUTOFF_SECONDS = 150
@@ -93,23 +93,24 @@ def dispatch_text(
     documents: DataFrame | None = None,
     images: DataFrame | None = None,
     media: DataFrame | None = None,
+    decks: DataFrame | None = None,
 ) -> DataFrame:
     """``files`` with the preview from the source that its category selects, else ``''``.
 
-    Each source is ``(path, preview)``. All of them meet the files in one join
+    Each source is ``(path, preview)``; slide decks have one of their own. All of them meet the files in one join
     on ``path``; whether the source fits the category is a residual condition,
     so the result stays partitioned by ``path`` for the token steps.
     """
     tagged = [
         source.select(F.col("path").alias("text_path"), "preview", F.lit(kind).alias("kind"))
-        for kind, source in (("document", documents), ("image", images), ("media", media))
+        for kind, source in (("document", documents), ("image", images), ("media", media), ("deck", decks))
         if source is not None
     ]
     if not tagged:
         return files.withColumn("preview", F.lit(""))
     texts = reduce(DataFrame.unionAll, tagged).where("preview != ''")
     fits = (
-        ((F.col("category") == "Documents") & (F.col("kind") == "document"))
+        ((F.col("category") == "Documents") & (F.col("kind") == F.when(is_slide_deck(F.col("path")), "deck").otherwise("document")))
         | ((F.col("category") == "Images") & (F.col("kind") == "image"))
         | (F.col("category").isin("Audio", "Video") & (F.col("kind") == "media"))
     )

@@ -8,17 +8,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.functions.names import is_plain_text
+from cataloom.functions.names import is_plain_text, on_disk
 from cataloom.functions.text import PREFIX_CHARS, word_preview
 from cataloom.schemas import EXTRACTED
 
 
-def task_count(df: DataFrame) -> int:
-    """Tasks for work whose cost lies in the files, not in the bytes of the rows."""
-    spark = df.sparkSession
+#: A task handles so many files or bytes at most, on average; a lost one repeats no more.
+FILES_PER_TASK, BYTES_PER_TASK = 10_000, 4 << 30
+#: Characters of text that a task holds before it hands them on.
+CHARS_HELD = 8 << 20
+
+
+def task_count(files: DataFrame) -> int:
+    """Tasks for work whose cost lies in the files, not in the bytes of the rows; ``files`` may have a ``length``."""
+    spark = files.sparkSession
+    length = F.sum("length") if "length" in files.columns else F.lit(0)
+    n, size = files.agg(F.count("*"), F.coalesce(length, F.lit(0))).first()
     return max(
         4 * spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
+        n // FILES_PER_TASK,
+        int(size) // BYTES_PER_TASK,
     )
 
 
@@ -30,14 +40,19 @@ def extract_with(files: DataFrame, fn: Callable[[str], str]) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "text", "error"]
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for path in batch["path"]:
                 try:
-                    rows.append((path, fn(path) or "", None))
+                    rows.append((path, fn(on_disk(path)) or "", None))
                 except Exception as problem:  # noqa: BLE001 - any failure means no text
                     rows.append((path, "", f"{type(problem).__name__}: {problem}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                held += len(rows[-1][1])
+                if held > CHARS_HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     # an explicit number of tasks: paths are few bytes, and AQE would merge them into one task
     return files.select("path").repartition(task_count(files), "path").mapInPandas(run, EXTRACTED)
@@ -60,17 +75,12 @@ def attach_extracted_text(files: DataFrame, extracted: DataFrame) -> DataFrame:
     )
 
 
-def previews(texts: DataFrame, placed: bool = True, spread: bool = False) -> DataFrame:
+def previews(texts: DataFrame, placed: bool = True) -> DataFrame:
     """``(path, preview)`` from ``(path, text)``, hash-partitioned by ``path`` if ``placed``.
 
-    The rows move once at most. Normally that is after the cut to the first
-    words, when they are small. With ``spread`` (for a scan with fewer splits
-    than cores, see ``under_split``) they move before it, so that the text work
-    runs on all cores. For ``dispatch_text``, whose join places the rows
-    itself, use ``placed=False``.
+    The rows move once at most, after the cut to the first words, when they are
+    small. For ``dispatch_text``, whose join places the rows itself, use
+    ``placed=False``.
     """
-    rows = texts.select("path", "text")
-    if spread:
-        rows = rows.repartition("path")
-    cut = rows.select("path", word_preview(F.col("text")).alias("preview"))
-    return cut.repartition("path") if placed and not spread else cut
+    cut = texts.select("path", word_preview(F.col("text")).alias("preview"))
+    return cut.repartition("path") if placed else cut

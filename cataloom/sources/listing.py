@@ -9,45 +9,50 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cataloom.functions.names import join_path
+from cataloom.functions.names import as_shown, join_path, on_disk
 from cataloom.session import materialise
 
-ENTRIES = "parent string, filename string, kind string, length long, mtime timestamp"
+ENTRIES = "parent string, filename string, kind string, length long, mtime timestamp, error string"
 BATCH = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
 def _entry(folder: str, entry: os.DirEntry) -> tuple:
+    name = as_shown(entry.name)
     if entry.is_dir():
-        return folder, entry.name, "link" if entry.is_symlink() else "dir", 0, None
+        return folder, name, "link" if entry.is_symlink() else "dir", 0, None, None
     kind = "file" if entry.is_file() else "other"
     try:
         stat = entry.stat()
-        return folder, entry.name, kind, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc)
+        return folder, name, kind, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc), None
     except OSError:  # a broken link stays in the catalogue
-        return folder, entry.name, kind, 0, None
+        return folder, name, "broken", 0, None, None
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["parent", "filename", "kind", "length", "mtime"]
+    columns = ["parent", "filename", "kind", "length", "mtime", "error"]
     for batch in batches:
         for folder in batch["folder"]:
             rows = []
             try:
-                with os.scandir(folder) as entries:
+                with os.scandir(on_disk(folder)) as entries:
                     for entry in entries:
                         rows.append(_entry(folder, entry))
                         if len(rows) == BATCH:  # a huge folder streams through, it is never held whole
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
-            except OSError:  # unreadable folder: keep what was listed
+            except FileNotFoundError:  # it is not, or no longer, there
                 pass
+            except OSError as problem:  # keep what was listed, and say so
+                rows.append((folder, "", "error", 0, None, f"{type(problem).__name__}: {problem.strerror}"))
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
@@ -84,30 +89,51 @@ def with_scan_seq(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Every file below ``root`` (or only directly in it), numbered in path order.
+@dataclass(frozen=True)
+class Scan:
+    """What a scan found: all entries (folders too), and the folders that could not be read, with their errors."""
+
+    entries: DataFrame
+    errors: DataFrame
+
+    def files(self, broken: bool = True) -> DataFrame:
+        """Files, without numbers; ``broken`` links count unless they are left out."""
+        kinds = ["file", "other", "broken"] if broken else ["file", "other"]
+        return self.entries.where(F.col("kind").isin(kinds)).select("path", "filename", "parent", "length", "mtime")
 
-    Links to folders are not followed. An unreadable or absent folder gives
-    no rows; the schema is the same either way.
+
+def scan(spark: SparkSession, root: str, depth: int | None = None) -> Scan:
+    """List ``root`` and the folders below it, ``depth`` levels of them or all. Links to folders are not followed.
+
+    An absent folder has no entries. One folder is listed by one task.
     """
     root = root.rstrip("/") or "/"
-    level = _list_level(spark.createDataFrame([(root,)], "folder string"))
-    if not recursive:
-        found = level.where("kind = 'file'")
-    else:
-        levels = [level]
-        while not (deeper := level.where("kind = 'dir'")).isEmpty():
-            folders = deeper.select(join_path("parent", "filename").alias("folder"))
-            level = _list_level(folders)
-            levels.append(level)
-        found = levels[0]
-        for level in levels[1:]:
-            found = found.unionAll(level)
-        found = found.where("kind in ('file', 'other')")
-    files = found.select(
-        join_path("parent", "filename").alias("path"), "filename", "parent", "length", "mtime"
+    levels = [_list_level(spark.createDataFrame([(root,)], "folder string"))]
+    while depth is None or len(levels) < depth:
+        deeper = levels[-1].where("kind = 'dir'")
+        if deeper.isEmpty():
+            break
+        levels.append(_list_level(deeper.select(join_path("parent", "filename").alias("folder"))))
+    found = reduce(DataFrame.unionAll, levels)
+    entries = found.where("kind <> 'error'").select(
+        join_path("parent", "filename").alias("path"), "filename", "parent", "kind", "length", "mtime"
     )
-    return with_scan_seq(files)
+    return Scan(entries, found.where("kind = 'error'").select(F.col("parent").alias("path"), "error"))
+
+
+def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """Every file below ``root`` (or only directly in it), numbered in path order.
+
+    The schema is the same for an absent or empty folder. ``scan`` also tells
+    which folders could not be read.
+    """
+    return with_scan_seq(scan(spark, root).files() if recursive else top_level(scan(spark, root, 1)))
+
+
+def top_level(found: Scan) -> DataFrame:
+    """The regular files (or links to some) of a scan of one level."""
+    files = found.entries.where("kind = 'file'")
+    return files.select("path", "filename", "parent", "length", "mtime")
 
 
 def below(listing: DataFrame, root: str, recursive: bool = True) -> DataFrame:

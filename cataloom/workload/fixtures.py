@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.functions.names import is_plain_text, join_path
 from cataloom.functions.text import text_prefix
 from cataloom.operators.classify import classify
-from cataloom.session import under_split
+from cataloom.session import new_shared_path
 from cataloom.sources.assembled import assemble_ocr_text, assemble_transcript, dispatch_text, text_bearing
 from cataloom.sources.content import previews
 
@@ -105,8 +108,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, preview)`` of the library, every text read in full."""
     path = join_path(_own_folder(), F.concat(F.col("source"), F.lit(".md")))
-    documents = table(spark, sf_dir, "documents")
-    return previews(documents.select(path.alias("path"), "text"), spread=under_split(documents))
+    return previews(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,21 +167,59 @@ def catalogue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = document_texts(spark, sf_dir).where("category = 'Documents'")
     return dispatch_text(
         files,
-        previews(documents, placed=False, spread=under_split(table(spark, sf_dir, "documents"))),
+        previews(documents, placed=False),
         assemble_ocr_text(placed(ocr_lines(spark, sf_dir), "Images")),
         assemble_transcript(placed(segments(spark, sf_dir), "Audio", "Video")),
     )
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as user sentences; what the system says counts as blank."""
-    text = F.when(F.col("role") == "system", " \t\n").otherwise(F.col("text"))
+    """Conversation turns as user sentences."""
     return table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
-        text.alias("text"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "text"
     )
 
 
+def sentences_and_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and a blank sentence for each conversation."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    blank = ids.select(F.concat("conv_id", F.lit("-blank")).alias("query_id"), F.lit(" \t\n").alias("text"))
+    return sentences(spark, sf_dir).unionByName(blank)
+
+
+def every_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, preview)`` of the whole catalogue: the texts of ``catalogue_texts``, and document texts for all other kinds."""
+    rest = document_texts(spark, sf_dir).where("category not in ('Documents', 'Images', 'Audio', 'Video')")
+    return catalogue_texts(spark, sf_dir).select("path", "preview").unionByName(previews(rest, placed=False))
+
+
+def file_tree(spark: SparkSession, sf_dir: str, flat: bool) -> str:
+    """All documents as files below a new folder that the executors share; returns the folder.
+
+    With ``flat`` many files lie in a folder, under names of their own; else each has its own folder and names repeat.
+    """
+    root = on_local_path(new_shared_path(spark, "tree"))
+    files = (flat_catalogue if flat else catalogue)(spark, sf_dir).select("scan_seq", "path")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scan_seq"), "text").join(files, "scan_seq")
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                place = root + path
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "wb") as out:
+                    out.write(text.encode())
+            yield batch[["scan_seq"]]
+
+    rows.mapInPandas(write, "scan_seq long").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def on_local_path(folder: str) -> str:
+    """The mounted path of a shared folder that is named by a ``file:`` address."""
+    return re.sub("^file:/*", "/", folder)
+
+
 def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("term"), F.col("embedding").alias("vec"))
 

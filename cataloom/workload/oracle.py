@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from cataloom.functions.names import EXTENSION_MAP
-from cataloom.operators.tokens import GENERIC_WORDS, KEYWORD_TAGS
 from cataloom.workload.fixtures import DEST, EXTENSIONS, LEXICON, SENTENCE
 
+# Fixed values, spelled out here and not taken from the engine: a wrong one there must show.
+EXTENSION_MAP = {
+    "Images": [".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tiff", ".webp"],
+    "Documents": [".pdf", ".docx", ".doc", ".txt", ".md", ".xlsx", ".csv", ".pptx"],
+    "Audio": [".mp3", ".wav", ".flac", ".m4a", ".aac"],
+    "Video": [".mp4", ".mov", ".mkv", ".avi", ".webm"],
+    "Archives": [".zip", ".rar", ".7z", ".tar", ".gz"],
+    "Executables": [".exe", ".msi", ".bat", ".sh", ".app"],
+    "Code": [".py", ".js", ".html", ".css", ".java", ".cpp"],
+}
+KEYWORD_TAGS = ["NOUN", "PROPN", "VERB", "ADJ"]
+GENERIC_WORDS = ["page", "date", "file", "total", "text", "format", "number", "datum", "sheet"]
+
 
 def _quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
@@ -53,7 +64,7 @@ _KIND = f"([{_quoted(EXTENSIONS)}])[doc_id % {len(EXTENSIONS)} + 1]"
 def _tokens_of(source: str, key: str, text: str) -> str:
     return (
         f"select {key}, unnest(range(len(w))) as pos, unnest(w) as text "
-        rf"from (select {key}, regexp_extract_all({text}, '\p{{L}}+') as w from {source})"
+        rf"from (select {key}, list_filter(regexp_extract_all({text}, '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda t: regexp_matches(t, '\p{{L}}')) as w from {source})"
     )
 
 
@@ -87,7 +98,7 @@ def _matches(keywords: str) -> str:
 
 
 def _categorised(files: str, keywords: str) -> str:
-    hit = "m.score > 0.45 and f.category <> 'Others'"
+    hit = "m.score > 0.45 and f.category in ('Documents', 'Images', 'Audio', 'Video')"
     return f"""
       select f.path, f.filename, f.scan_seq, f.category as ext_category,
              case when {hit} then upper(m.label[1]) || lower(m.label[2:]) else f.category end as category,
@@ -149,12 +160,16 @@ _CTES = {
       select * from looked where tag in ({_quoted(KEYWORD_TAGS)}) and not is_stop and length(text) > 2
         and lemma not in ({_quoted(GENERIC_WORDS)})""",
     "kws": _keywords_of("lib_texts"),
-    "cat_kws": _keywords_of("(select path, preview from cat_texts where preview <> '')"),
+    "all_texts": f"""
+      select path, preview from cat_texts where preview <> ''
+      union all
+      select path, {_preview('text')} from doc_texts where category not in ('Documents', 'Images', 'Audio', 'Video')""",
+    "cat_kws": _keywords_of("all_texts"),
     "strings": """
       select l.path, coalesce(k.s, '') as keywords from lib l
       left join (select path, string_agg(keyword, ', ' order by rank) as s from kws group by path) k using (path)""",
     "sentences": r"""
-      select conv_id || '-' || turn as query_id, case when role = 'system' then ' ' else text end as text from conversations""",
+      select conv_id || '-' || turn as query_id, text from conversations""",
     "found": f"""
       select query_id, row_number() over (partition by query_id order by pos) - 1 as idx, text as label
       from ({_lookup(f"({_tokens_of('sentences', 'query_id', 'text')})")})
@@ -232,7 +247,8 @@ _SELECTS = {
     "text_prefix": "select doc_id, substring(text, 1, 5000) as prefix from documents",
     "word_preview": r"select path, preview, len(regexp_extract_all(preview, '[^ ]+')) as n_words from lib_texts",
     "attach_extracted_text": """
-      select path, category, case when path like '%.docx' then text else '' end as text from doc_texts""",
+      select path, category, case when category = 'Documents' and path not like '%.txt' and path not like '%.csv'
+                                  then text else '' end as text from doc_texts""",
     "assemble_ocr_text": _assembled("(select conv_id::varchar as path, turn, text from conversations)", "turn"),
     "assemble_slide_text": _assembled(
         "(select conv_id::varchar as path, turn, text from conversations)",
@@ -254,7 +270,9 @@ _SELECTS = {
     "capitalise_label": """
       select query_id, idx, label,
              case label[1] when 'ß' then 'Ss' else upper(label[1]) end || lower(label[2:]) as category from found""",
-    "choose_branch": "select query_id, case when trim(text) = '' then 'keep' else 'match' end as branch from sentences",
+    "choose_branch": r"""
+      select query_id, case when regexp_full_match(text, '\s*') then 'keep' else 'match' end as branch from sentences
+      union all select distinct conv_id || '-blank', 'keep' from conversations""",
     "attach_target_vectors": f"""
       select query_id, idx, label, len(vec) as n_dims, round({_norm('vec')}, 6) as norm
       from {_keyed('found', 'label')} join vecs using (vec_id)""",
@@ -263,7 +281,7 @@ _SELECTS = {
       from {_keyed('(select distinct keyword from kws)', 'keyword')} join vecs using (vec_id)""",
     "pairwise_cosine": f"""
       select keyword as term, idx, label, round(score, 9) as score
-      from {_keyed('(select distinct keyword from kws)', 'keyword')} join scored using (vec_id)""",
+      from {_keyed('(select distinct keyword from kws)', 'keyword')} join scored using (vec_id) where score > 0.45""",
     "best_score": f"select path, round(score, 9) as score from ({_matches('kws')})",
     "best_target": f"select path, idx, label from ({_matches('kws')})",
     "match_categories": f"""
@@ -313,5 +331,20 @@ step as (
       from step s join queue q on q.source = s.source and q.i = s.i + 1)))
 select path, used[-1] || '.txt' as target, n_suffix from step where i > 0"""
 
+_TREE = """
+select parent || '/' || filename as path, filename, strlen(text)::bigint as length, text,
+       row_number() over (order by parent || '/' || filename) - 1 as scan_seq
+from (select doc_id || '_' || source || {kind} as filename, {folder} as parent, text from documents)""".format(kind=_KIND, folder=_FOLDER)
+
 ORACLE: dict[str, str] = {name: _WITH + select for name, select in _SELECTS.items()}
 ORACLE["collision_contended"] = _CONTENDED
+ORACLE["scan_tree"] = f"select path, filename, length, scan_seq from ({_TREE})"
+ORACLE["scan_tree_top"] = f"""
+select path, filename, length, row_number() over (order by path) - 1 as scan_seq
+from ({_TREE}) where regexp_full_match(path, '/in/en/[^/]*')"""
+ORACLE["read_prefix"] = f"""
+select path, substring(text, 1, 5000) as text, null::varchar as error from ({_TREE}) where path like '%.txt' or path like '%.csv'"""
+ORACLE["organise_tree"] = _WITH + f"""
+select path, '/out/' || category || '/' || {_numbered('filename', 'k')} as dest_path, 'copied' as status, 'ok' as verified,
+       strlen(text)::bigint as dst_len, true as retired
+from (select *, row_number() over (partition by category, filename order by path) - 1 as k from files)"""

@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.functions.names import base_name, extension, join_path, parent_of, stem
+from cataloom.functions.names import base_name, extension, is_plain_text, join_path, parent_of, stem
 from cataloom.functions.text import capitalise, parse_keywords, text_prefix, word_count
 from cataloom.functions.vectors import norm
 from cataloom.operators import keywords as kw
 from cataloom.operators import layout, match, summary, tokens, verify
 from cataloom.operators.classify import classify
 from cataloom.operators.naming import assign_names
-from cataloom.plans.organise import categorise, choose_branch, sentence_targets
+from cataloom.plans.organise import categorise, choose_branch, organise_folder, sentence_targets
 from cataloom.session import configure, materialise, new_shared_path
 from cataloom.sources import assembled
-from cataloom.sources.content import attach_extracted_text
-from cataloom.sources.listing import below
+from cataloom.sources.content import attach_extracted_text, read_text_prefix
+from cataloom.sources.listing import below, scan_files
 from cataloom.workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +117,7 @@ def word_preview(spark, sf_dir):
 @query
 def attach_extracted(spark, sf_dir):
     files = classify(fx.catalogue(spark, sf_dir)).select("path", "category")
-    extracted = fx.document_texts(spark, sf_dir).where(F.endswith("path", F.lit(".docx")))
+    extracted = fx.document_texts(spark, sf_dir).where((F.col("category") == "Documents") & ~is_plain_text(F.col("path")))
     return attach_extracted_text(files, extracted)
 
 
@@ -192,7 +192,9 @@ def capitalise_label(spark, sf_dir):
     return found.select("query_id", "idx", "label", capitalise(F.col("label")).alias("category"))
 
 
-QUERIES["choose_branch"] = lambda spark, sf_dir: choose_branch(fx.sentences(spark, sf_dir)).select("query_id", "branch")
+QUERIES["choose_branch"] = lambda spark, sf_dir: choose_branch(fx.sentences_and_blanks(spark, sf_dir)).select(
+    "query_id", "branch"
+)
 
 
 # --- vectors -----------------------------------------------------------------
@@ -259,7 +261,8 @@ def best_target(spark, sf_dir):
 
 def _matched_catalogue(spark, sf_dir):
     files = classify(fx.catalogue(spark, sf_dir))
-    texts = kw.keyword_eligible(fx.catalogue_texts(spark, sf_dir))
+    # texts of all kinds of files: the match must keep to the kinds whose text counts
+    texts = fx.every_text(spark, sf_dir).where("preview != ''")
     return match.match_categories(
         files,
         kw.top_keywords(texts, fx.lexicon(spark)),
@@ -368,13 +371,13 @@ def _checked(spark, sf_dir):
     """Plan, verification and source listing of a run in which some copies went wrong."""
     plan = materialise(_plan(spark, sf_dir))
     sources = fx.sources_after_copy(spark, sf_dir)
-    return plan, verify.verify_copies(plan, sources, fx.damaged_copies(spark, sf_dir, plan)), sources
+    return plan, materialise(verify.verify_copies(plan, sources, fx.damaged_copies(spark, sf_dir, plan))), sources
 
 
 def _checked_clean(spark, sf_dir):
     plan = materialise(_clean_plan(spark, sf_dir))
     sources = fx.catalogue(spark, sf_dir)
-    return plan, verify.verify_copies(plan, sources, fx.clean_copies(plan)), sources
+    return plan, materialise(verify.verify_copies(plan, sources, fx.clean_copies(plan))), sources
 
 
 QUERIES["verify_copies"] = lambda spark, sf_dir: _checked(spark, sf_dir)[1]
@@ -407,3 +410,43 @@ def run_summary(spark, sf_dir):
         retired = verify.retire_list(plan, verification, sources)
         rows.append(summary.run_summary(plan, verification, retired).withColumn("run", F.lit(name)))
     return rows[0].unionByName(rows[1])
+
+
+# --- real files --------------------------------------------------------------
+
+
+def _relative(root, column="path"):
+    return F.substring(F.col(column), F.lit(len(root) + 1), F.length(column))
+
+
+@query
+def scan_tree(spark, sf_dir):
+    """A recursive scan of files that Spark has written."""
+    root = fx.file_tree(spark, sf_dir, flat=True)
+    return scan_files(spark, root).select(_relative(root).alias("path"), "filename", "length", "scan_seq")
+
+
+@query
+def scan_tree_top(spark, sf_dir):
+    root = fx.file_tree(spark, sf_dir, flat=True)
+    found = scan_files(spark, f"{root}/in/en", recursive=False)
+    return found.select(_relative(root).alias("path"), "filename", "length", "scan_seq")
+
+
+@query
+def read_prefix(spark, sf_dir):
+    root = fx.file_tree(spark, sf_dir, flat=True)
+    return read_text_prefix(scan_files(spark, root)).select(_relative(root).alias("path"), "text", "error")
+
+
+@query
+def organise_tree(spark, sf_dir):
+    """Scan, copy, verify and the list of originals to retire, over files that Spark has written."""
+    root = fx.file_tree(spark, sf_dir, flat=False)
+    done = organise_folder(spark, f"{root}/in", f"{root}/out")
+    rows = done.log.join(done.verification.select("path", F.col("status").alias("verified"), "dst_len"), "path")
+    rows = rows.join(done.retire.select("path", F.lit(True).alias("retired")), "path", "left")
+    return rows.select(
+        _relative(root).alias("path"), _relative(root, "dest_path").alias("dest_path"), "status", "verified", "dst_len",
+        F.coalesce("retired", F.lit(False)).alias("retired"),
+    )

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from cataloom.operators.naming import _ranked
 from cataloom.operators.keywords import rank_keywords, term_frequency, top_keywords
 from cataloom.operators.tokens import lexicon_lookup, token_filter, tokens
 from cataloom.sources.content import previews
@@ -66,8 +67,19 @@ def test_listing_queries_read_no_text(spark, name):
     assert schemas and all("text:" not in s for s in schemas)
 
 
-def test_names_move_once_where_nothing_contends(spark):
-    assert len(moves(QUERIES["collision_suffix"](spark, SF_DIR))) == 1
+def test_rows_move_once_where_nothing_contends(spark):
+    plan = plan_of(QUERIES["collision_suffix"](spark, SF_DIR))
+    wide = [line for line in plan.split("Exchange")[1:] if "AS row#" in line.split("Exchange")[0]]
+    assert len(wide) == 1
+
+
+def test_marks_are_sliced(spark):
+    rows = spark.range(2).selectExpr("'C' as category", "'a.t' as filename", "id * 200000 as scan_seq")
+    marks = spark.range(1, 100_001).selectExpr("'C' as category", "'a.t' as parent", "concat('a_', id, '.t') as filename", "id as first_seq")
+    ranked = _ranked(rows, 6, marks)
+    assert ranked.where("mark is not null").count() == 100_000
+    assert ranked.where("ahead = 1 and mark is not null").count() == 100_000
+    assert "slice" in plan_of(ranked).split("hashpartitioning(")[1].split(")")[0]
 
 
 def test_cosines_are_worked_out_once(spark):
