@@ -56,38 +56,34 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return found[:length]
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, n, node`` of every row."""
+def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, th, n, node`` of every row, and the common shingles, from one pass.
+
+    Common are those in at least ``COMMON / 2`` of the texts, all in ``COMMON`` or more among them; sorted.
+    """
+    names = ["doc_id", "th", "n", "node", "shingle"]
 
     def read(batches):
         for batch in batches:
             found = [text_set(t) for t in texts(batch)]
+            nodes = [_node(s) for s in found]
+            n = [len(s) for s in found]
+            own = [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(n), pa.int64())], names=names)
+            each = dict(zip(nodes, found))
+            every, times = np.unique(np.concatenate(list(each.values())), return_counts=True) if each else (np.zeros(0, U64), np.zeros(0))
+            many = times >= max(2, COMMON / 2 * batch.num_rows)
+            k = int(many.sum())
+            blank = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in found], pa.int64()),
-                 pa.array([_node(s) for s in found], pa.int64())],
-                names=["doc_id", "th", "n", "node"],
-            )
-
-    return keyed(docs).mapInArrow(read, "doc_id bigint, th bigint, n bigint, node bigint")
-
-
-def common_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles in at least ``COMMON / 2`` of the texts, all those in ``COMMON`` or more among them; sorted."""
-
-    def report(batches):
-        for batch in batches:
-            found = {_node(s): s for s in map(text_set, texts(batch))}
-            if not found:
-                continue
-            every, n = np.unique(np.concatenate(list(found.values())), return_counts=True)
-            many = n >= max(2, COMMON / 2 * batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(every[many].view(np.int64)), pa.array(n[many].astype(np.int64))], names=["shingle", "n"]
+                [blank, blank, pa.array(times[many].astype(np.int64)), blank, pa.array(every[many].view(np.int64))], names=names
             )
 
-    counted = docs.select("text").mapInArrow(report, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") >= max(2.0, COMMON / 2 * n_docs)).select("shingle").toArrow()
-    return np.sort(found.column("shingle").to_numpy().view(U64))
+    found = written(keyed(docs).mapInArrow(read, "doc_id bigint, th bigint, n bigint, node bigint, shingle bigint"), "sets")
+    rows = found.where("shingle is null").drop("shingle")
+    counted = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = counted.where(F.col("n") >= max(2.0, COMMON / 2 * rows.count())).select("shingle").toArrow()
+    return rows, np.sort(common.column("shingle").to_numpy().view(U64))
 
 
 def _entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -136,7 +132,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     def pack(batches):
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             z = [squeeze.compress(t or b"") for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(z, pa.binary())], names=["doc_id", "th", "z"])
@@ -190,10 +186,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    rows = written(sets(docs), "sets")
+    rows, common = sets(docs)
     full = rows.where("doc_id is not null and n > 0")
     nodes = written(full.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("node", "k.doc_id", "k.th"), "nodes")
-    lists = index_lists(docs, common_shingles(docs, rows.count()))
+    lists = index_lists(docs, common)
     fits = lambda m: 4 * F.least("n", m) >= 3 * F.greatest("n", m)
     star = lists.where((F.col("length") > LONG) & (F.col("node") != F.col("pivot")) & fits(F.col("pivot_n")))
     star_links = _verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), docs, nodes)
