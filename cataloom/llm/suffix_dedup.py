@@ -255,7 +255,8 @@ def _counted(units: DataFrame) -> DataFrame:
 def _marks(docs: DataFrame, hot: int) -> DataFrame:
     """``doc_id, th, marks``: for rows with repeated windows, where they are."""
     placed = _placed(docs)
-    several = placed.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("a"))
+    # a table of its own: a join straight above a grouping by the same key cannot be split where a key is hot
+    several = written(placed.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("a")), "anchors")
     placed = written(placed.join(several, F.col("anchor") == F.col("a")).drop("a"), "units")
     holder = F.min(F.struct("doc_id", "th", "first", "windows")).alias("at")
     units = written(placed.groupBy("anchor", "unit").agg(F.count("*").alias("n"), holder), "units")
