@@ -114,7 +114,8 @@ def _entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
 def index_lists(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """The entries of shingles that several sets have, each once, with the length and the pivot of their list."""
     entries = _entries(docs, common)
-    several = entries.groupBy("shingle").count().where("count > 1").select(F.col("shingle").alias("s"))
+    # tables of their own: a join straight above a grouping by the same key cannot be split where a key is hot
+    several = written(entries.groupBy("shingle").count().where("count > 1").select(F.col("shingle").alias("s")), "several")
     lists = entries.join(several, F.col("shingle") == F.col("s")).drop("s").distinct()
     lists = written(lists, "lists")
     # the set with the most shared shingles is the pivot: edits make shingles of their own
@@ -123,6 +124,7 @@ def index_lists(docs: DataFrame, common: np.ndarray) -> DataFrame:
     first = F.max(F.struct("degree", "node", "n"))
     head = lists.groupBy("shingle").agg(F.count("*").alias("length"), first.alias("p")).where("length > 1")
     head = head.select(F.col("shingle").alias("s"), "length", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    head = written(head, "heads")
     return written(lists.join(head, F.col("shingle") == F.col("s")).drop("s", "degree"), "lists")
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import aside, keyed, on_key
+from cataloom.llm.common import aside, keyed, on_key, written
 
 WINDOW = 3
 
@@ -46,7 +46,8 @@ def later_windows(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "th", "pos")
     found = windows(docs)
     first = found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = first.where("first <> last").select(F.col("w1").alias("r1"), F.col("w2").alias("r2"), "first")
+    # a table of its own: a join straight above a grouping by the same key cannot be split where a key is hot
+    repeated = written(first.where("first <> last").select(F.col("w1").alias("r1"), F.col("w2").alias("r2"), "first"), "repeated")
     later = found.join(repeated, (F.col("w1") == F.col("r1")) & (F.col("w2") == F.col("r2")) & (place != F.col("first")))
     return later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
