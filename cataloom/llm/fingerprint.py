@@ -29,6 +29,7 @@ from cataloom.llm.common import BASE, INVERSE, SEGMENT, U64, keyed, mix, powers,
 
 WINDOW, SPAN, VOTES, LEVELS, PLAIN = 64, 64, 16, 1000, 100
 SHORT, SHORT_WINDOW = 256, 8
+BLOCK = 1 << 17  # bytes of short texts looked at together
 BITS, HASHES, PER_FILTER = 2048, 5, 128
 _COUNT = np.arange(WINDOW + 1)
 #: c log2 c for a byte that occurs c times in a window, in units of 2^-20, so that sums are exact
@@ -61,16 +62,38 @@ def _parts(data: bytes):
         yield np.frombuffer(data[at : at + SEGMENT + WINDOW - 1], np.uint8)
 
 
+def _blocks(found: list[bytes | None]):
+    """The windows' levels of many texts, some texts at a time; parts of very long ones alone."""
+    held, size = [], 0
+    for text in found:
+        if not text or len(text) < WINDOW:
+            continue
+        for part in _parts(text):
+            if held and size + len(part) > BLOCK:
+                yield _levels_of(held)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+    if held:
+        yield _levels_of(held)
+
+
+def _levels_of(parts: list[np.ndarray]) -> np.ndarray:
+    level = entropy_levels(np.concatenate(parts))
+    inside = np.ones(len(level), bool)
+    for end in np.cumsum([len(p) for p in parts[:-1]]):
+        inside[end - WINDOW + 1 : end] = False  # windows that reach into the next text
+    return level[inside]
+
+
 def ranks(docs: DataFrame) -> np.ndarray:
     """Rank by level from the windows of all texts; LEVELS + 1 numbers."""
 
     def count(batches):
         total = np.zeros(LEVELS + 1, np.int64)
         for batch in batches:
-            for text in texts(batch):
-                if text and len(text) >= WINDOW:
-                    for part in _parts(text):
-                        total += np.bincount(entropy_levels(part), minlength=LEVELS + 1)
+            for level in _blocks(texts(batch)):
+                total += np.bincount(level, minlength=LEVELS + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS + 1)), pa.array(total)], names=["level", "n"])
 
     found = docs.select("text").mapInArrow(count, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()
@@ -81,15 +104,30 @@ def ranks(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _features(data: bytes, rank: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """Hashes of a text's features, in order."""
+def levels_of(data: bytes) -> np.ndarray | None:
+    """The levels of a text that is read in one part, to be used again for texts made from it."""
+    return entropy_levels(np.frombuffer(data, np.uint8)) if SHORT <= len(data) <= SEGMENT else None
+
+
+def joined_levels(a: bytes, of_a: np.ndarray | None, b: bytes, of_b: np.ndarray | None) -> np.ndarray | None:
+    """The levels of ``a + b`` from those of texts that begin with ``a`` and with ``b``."""
+    if of_a is None or of_b is None or min(len(a), len(b)) < WINDOW or not SHORT <= len(a) + len(b) <= SEGMENT:
+        return None
+    middle = entropy_levels(np.frombuffer(a[1 - WINDOW :] + b[: WINDOW - 1], np.uint8))
+    return np.concatenate([of_a[: len(a) - WINDOW + 1], middle, of_b[: len(b) - WINDOW + 1]])
+
+
+def _features(
+    data: bytes, rank: np.ndarray, power: np.ndarray, inverse: np.ndarray, levels: np.ndarray | None = None
+) -> np.ndarray:
+    """Hashes of a text's features, in order; ``levels`` of a text of one part need not be worked out again."""
     if len(data) < SHORT:
         width = min(SHORT_WINDOW, len(data))
         sums = prefix_hash(np.frombuffer(data, np.uint8), power)
         return np.unique(mix((sums[width:] - sums[: len(sums) - width]) * inverse[: len(sums) - width])) if data else np.zeros(0, U64)
     found = []
     for buf in _parts(data):
-        key = (rank[entropy_levels(buf)] << 24) | np.arange(len(buf) - WINDOW + 1)
+        key = (rank[entropy_levels(buf) if levels is None else levels] << 24) | np.arange(len(buf) - WINDOW + 1)
         width, step = min(SPAN, len(key)), 1
         best = key
         while step < width:  # minimum over `width` neighbours by doubling
@@ -110,9 +148,9 @@ class Maker:
         self.rank = rank
         self.power, self.inverse = powers(BASE, SEGMENT + WINDOW), powers(INVERSE, SEGMENT + WINDOW)
 
-    def filters(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def filters(self, data: bytes, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Bloom filters (rows of bytes) and the features in each."""
-        found = _features(data, self.rank, self.power, self.inverse)
+        found = _features(data, self.rank, self.power, self.inverse, levels)
         n = -(-len(found) // PER_FILTER)
         bits = np.zeros((n, BITS), bool)
         row = np.arange(len(found)) // PER_FILTER
@@ -178,10 +216,10 @@ _SCHEMA = (
 )
 
 
-def edited(text: str, following: str) -> str:
-    """``text`` with its last third replaced by the head of the next text."""
+def halves(text: str, following: str) -> tuple[str, str]:
+    """The edited text in two: ``text`` without its last third, and as much of the head of the next text."""
     cut = len(text) // 3
-    return text[: len(text) - cut] + following[:cut]
+    return text[: len(text) - cut], following[:cut]
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
@@ -195,14 +233,16 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
             out = []
             for part, last, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "last", "doc_id", "text"))):
                 text = text or ""
-                made = maker.filters(text.encode())
+                data = text.encode()
+                levels = levels_of(data)
+                made = maker.filters(data, levels)
                 if held is not None and held[0] == part:
-                    _, before, old, own = held
-                    new = edited(old, text)
-                    of_new = maker.filters(new.encode())
-                    out.append((before, len(old), hashlib.sha256(new.encode()).hexdigest(), shown(own), shown(of_new),
+                    _, before, old, own, of_old = held
+                    a, b = (x.encode() for x in halves(old, text))
+                    of_new = maker.filters(a + b, joined_levels(a, of_old, b, levels))
+                    out.append((before, len(old), hashlib.sha256(a + b).hexdigest(), shown(own), shown(of_new),
                                 likeness(own, of_new), likeness(own, made)))
-                held = None if last else (part, doc_id, text, made)
+                held = None if last else (part, doc_id, text, made, levels)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             cols = list(zip(*out)) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)

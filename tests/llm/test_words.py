@@ -152,3 +152,15 @@ def test_features_are_scaled():
     at, value = quality.features(b"one two two")
     assert len(at) == len(value) and np.isfinite(value).all()
     assert len(quality.features(None)[0]) == len(quality.features(b"")[0])
+
+
+def test_levels_of_joined_texts_and_blocks(monkeypatch):
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(97, 120, n).astype(np.uint8).tobytes() for n in (10, 64, 300, 900, 2000, 65, 300)]
+    for a in texts[2:5]:
+        for b in texts[2:5]:
+            joined = fingerprint.joined_levels(a[:200], fingerprint.levels_of(a), b[:150], fingerprint.levels_of(b))
+            assert (joined == fingerprint.entropy_levels(np.frombuffer(a[:200] + b[:150], np.uint8))).all()
+    monkeypatch.setattr(fingerprint, "BLOCK", 1000)
+    slow = np.concatenate([fingerprint.entropy_levels(np.frombuffer(t, np.uint8)) for t in texts if len(t) >= 64])
+    assert np.concatenate(list(fingerprint._blocks(texts + [None, b""]))).tolist() == slow.tolist()
