@@ -10,8 +10,10 @@ Two texts link when ``100 * |intersection| >= 75 * |union|``; components are the
 3. *Derived answers.* In a long list every set is compared with one pivot, the set with the most shared shingles. Sets that link
    to it are in one component, and need no comparison with each other: their answers follow from the pivot's.
 4. *Skipping.* Other pairs of a list are formed only across components, only if sizes allow a link, and only if the positions
-   leave room for the overlap needed (sets before ``i`` and after it can share no more than is there). A pair needs so many
-   common prefix shingles that the rest of both sets can supply the missing ones; few pairs pass that.
+   leave room for the overlap needed: what two sets share before this shingle is in lists of both, so it is at most the smaller
+   number of their list entries passed so far (a common shingle that precedes it in one set precedes it in the other, and so is in
+   both prefixes); behind it, at most what the shorter rest holds. A pair needs so many common prefix shingles that the rest of
+   both sets can supply the missing ones; few pairs pass that.
 5. *Verification* compares the whole sets of the two texts.
 
 Common shingles are those found in more than a share ``COMMON`` of the texts. A shingle of that kind is in at least that share
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.llm.common import keyed, mix, shingles, texts, U64, words, written
@@ -112,15 +114,16 @@ def _entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def index_lists(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """The entries of shingles that several sets have, each once, with the length and the pivot of their list."""
+    """The entries of shingles that several sets have, each once, with the length and the pivot of their list, and the number of
+    entries of the same set at earlier positions (``passed``)."""
     entries = _entries(docs, common)
     # tables of their own: a join straight above a grouping by the same key cannot be split where a key is hot
     several = written(entries.groupBy("shingle").count().where("count > 1").select(F.col("shingle").alias("s")), "several")
     lists = entries.join(several, F.col("shingle") == F.col("s")).drop("s").distinct()
-    lists = written(lists, "lists")
     # the set with the most shared shingles is the pivot: edits make shingles of their own
-    degree = lists.groupBy("node").agg(F.count("*").alias("degree")).withColumnRenamed("node", "d")
-    lists = lists.join(degree, F.col("node") == F.col("d")).drop("d")
+    own = Window.partitionBy("node")  # no more rows than the prefix of one text has
+    passed = F.row_number().over(own.orderBy("pos")) - 1
+    lists = written(lists.select("*", F.count("*").over(own).alias("degree"), passed.alias("passed")), "lists")
     first = F.max(F.struct("degree", "node", "n"))
     head = lists.groupBy("shingle").agg(F.count("*").alias("length"), first.alias("p")).where("length > 1")
     head = head.select(F.col("shingle").alias("s"), "length", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
@@ -197,9 +200,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     star_links = _verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), docs, nodes)
     known = components(star_links)
     own = lists.join(known.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
-    own = written(own.select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label")), "lists")
-    other = own.toDF("s2", "node2", "n2", "pos2", "label2")
-    most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
+    own = written(own.select("shingle", "node", "n", "pos", "passed", F.coalesce("label", "node").alias("label")), "lists")
+    other = own.toDF("s2", "node2", "n2", "pos2", "passed2", "label2")
+    most = F.least("passed", "passed2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     wanted = F.col("n") + F.col("n2")
     met = own.join(
         other,
