@@ -62,8 +62,8 @@ def _draws(n: int) -> np.ndarray:
     return np.sort((mix(np.arange(BITS, dtype=U64) * BASE + mix(of)) % U64(max(n, 1))).astype(np.int64), axis=1)
 
 
-def embed(windows: np.ndarray, steps: int) -> np.ndarray:
-    """CGK outputs (rows x WALKS x steps) of windows of equal length; every other walk reads backwards.
+def embed(windows: np.ndarray, steps: int) -> Iterator[np.ndarray]:
+    """CGK outputs of windows of equal length, step by step (rows x WALKS); every other walk reads backwards.
 
     Past the end a walk puts out 0.
     """
@@ -72,22 +72,22 @@ def embed(windows: np.ndarray, steps: int) -> np.ndarray:
     padded[0, :, :n], padded[1, :, :n] = windows, windows[:, ::-1]
     way, row = np.arange(WALKS)[None, :] % 2, np.arange(rows)[:, None]
     flat, base = padded.ravel(), (way * rows + row) * (n + 1)
-    at, out = np.zeros((rows, WALKS), np.int64), np.empty((rows, WALKS, steps), U64)
+    at = np.zeros((rows, WALKS), np.int64)
     salts = mix(np.arange(steps, dtype=U64)[:, None] * BASE + mix(np.arange(WALKS, dtype=U64)))
     for j in range(steps):
         word = flat[base + at]
-        out[:, :, j] = word
+        yield word
         at = np.minimum(at + ((word ^ salts[j]) * MIX1 >> U64(63)).astype(np.int64), n)
-    return out
 
 
 def signatures(windows: np.ndarray) -> np.ndarray:
-    """LSH hashes (rows x WALKS) of windows of equal length."""
+    """LSH hashes (rows x WALKS) of windows of equal length; holds one step of the walks at a time."""
     draws = _draws(windows.shape[1])
-    sampled = np.take_along_axis(embed(windows, int(draws.max()) + 1), draws[None], axis=2)
-    total = np.broadcast_to(np.arange(1, WALKS + 1, dtype=U64), sampled.shape[:2])
-    for k in range(BITS):
-        total = (total + sampled[:, :, k]) * BASE
+    total = np.tile(np.arange(1, WALKS + 1, dtype=U64), (len(windows), 1))
+    for j, word in enumerate(embed(windows, int(draws.max()) + 1)):
+        for k in range(BITS):  # the draws of a walk ascend
+            walks = np.flatnonzero(draws[:, k] == j)
+            total[:, walks] = (total[:, walks] + word[:, walks]) * BASE
     return mix(total)
 
 
