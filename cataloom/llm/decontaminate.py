@@ -3,15 +3,19 @@
 Texts and items are sequences of words (A-Z lower-cased). A text holds an item of ``n`` words if some stretch of it is at
 most ``floor(RATE * n)`` word edits from the item.
 
-1. *Windows.* An item is cut into one piece more than the edits it may have, so one piece stays whole in every stretch sought.
-   Where a piece occurs in a text, the windows of ``n`` words that would put it at its place, shifted by up to the edits
+0. *Parts.* CGK's Hamming distance grows with the square of the edits, so an item of more than ``PART`` words is cut into equal
+   parts of at most ``PART`` words. If every part had more than ``RATE`` of its words edited, so had the item; so at least one
+   part is within its own ``floor(RATE * m)`` edits in every stretch sought, and recall does not fall with the length of items.
+1. *Windows.* A part is cut into one piece more than the edits it may have, so one piece stays whole in every stretch sought.
+   Where a piece occurs in a text, the windows of ``m`` words that would put it at its place, shifted by up to the edits
    allowed, are looked at. This loses no stretch, and most texts have no window at all.
 2. *Embedding.* In each of ``WALKS`` repetitions a random walk (Chakraborty, Goldenberg, Koucky) reads a window: step j puts out
    the word it stands on and moves on or stays by a random bit of (j, word). Few edits become few differing outputs.
-3. *LSH.* A repetition samples ``BITS`` places of the output and hashes the words there; a window and an item of the same length
-   that share a hash in any repetition are a candidate pair. ``WALKS`` and ``BITS`` are set for a recall of 0.95 or more at the
-   full edit rate (measured in the tests; unedited copies are always found).
-4. *Verification.* The least edit distance between the item and any stretch around the window, by dynamic programming.
+3. *LSH.* A repetition samples ``BITS`` places of the output and hashes the words there; a window and a part of the same length
+   that share a hash in any repetition are a candidate pair. ``WALKS``, ``BITS`` and ``PART`` are set for a recall of 0.95 or more
+   at the full edit rate (measured in the tests by length and kind of edit; unedited copies are always found).
+4. *Verification.* The least edit distance between the whole item and any stretch around the place that the window gives it, by
+   dynamic programming, broken off once it is beyond the edits allowed.
 
 Items travel in blocks of at most ``BLOCK_WORDS`` words (about 100 MB with their tables): the benchmark is read block by block
 and each block is one more step in the same pass over the texts, with a broadcast of that bounded size. Texts are never shuffled,
@@ -32,7 +36,7 @@ from pyspark.sql import types as T
 
 from cataloom.llm.common import BASE, MIX1, U64, aside, mix, texts, words
 
-RATE, WALKS, BITS, BLOCK_WORDS = 0.2, 40, 3, 2_000_000
+RATE, WALKS, BITS, PART, BLOCK_WORDS = 0.2, 40, 3, 48, 2_000_000
 _FILTER_BITS = 20
 HIT = T.ArrayType(
     T.StructType(
@@ -46,6 +50,12 @@ def allowed(n: int) -> int:
     return int(RATE * n)
 
 
+def parts(n: int) -> list[tuple[int, int]]:
+    """Where the parts of an item of n words begin and end."""
+    k = -(-n // PART)
+    return [(i * n // k, (i + 1) * n // k) for i in range(k)]
+
+
 def grams(found: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words, in order."""
     if len(found) < size:
@@ -91,8 +101,11 @@ def signatures(windows: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """The least edit distance of ``item`` to any stretch of ``text``, and that stretch (first, last exclusive)."""
+def best_stretch(item: np.ndarray, text: np.ndarray, most: int | None = None) -> tuple[int, int, int]:
+    """The least edit distance of ``item`` to any stretch of ``text``, and that stretch (first, last exclusive).
+
+    Where it is above ``most``, any number above ``most``.
+    """
     m = len(text)
     cost, begin = np.zeros(m + 1, np.int64), np.arange(m + 1)
     for i, word in enumerate(item):
@@ -106,6 +119,8 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         low = np.minimum.accumulate(level)
         first = np.maximum.accumulate(np.where(np.append(True, level[1:] < low[:-1]), np.arange(m + 1), 0))
         cost, begin = low + np.arange(m + 1), origin[first]
+        if most is not None and cost.min() > most:  # it never falls again
+            break
     end = int(np.argmin(cost))
     return int(cost[end]), int(begin[end]), end
 
@@ -115,24 +130,26 @@ class Block:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
+        self.parts = [(i, a, b - a) for i, (_, found) in enumerate(items) for a, b in parts(len(found))]
         seeds: dict[int, list[tuple[int, int, int]]] = {}
         by_length: dict[int, list[int]] = {}
-        for i, (_, found) in enumerate(items):
-            n = len(found)
+        for part, (i, begin, n) in enumerate(self.parts):
+            found = items[i][1][begin : begin + n]
             pieces = allowed(n) + 1
             size = n // pieces
             all_grams = grams(found, size)
             for p in range(pieces):
                 offset = p * n // pieces
-                seeds.setdefault(size, []).append((int(all_grams[offset]), i, offset))
-            by_length.setdefault(n, []).append(i)
+                seeds.setdefault(size, []).append((int(all_grams[offset]), part, offset))
+            by_length.setdefault(n, []).append(part)
         self.seeds = {}
         for size, rows in seeds.items():
             rows.sort()
             self.seeds[size] = (np.array([r[0] for r in rows], U64), np.array([r[1:] for r in rows], np.int64))
         self.signs = {}
         for n, members in by_length.items():
-            signs = signatures(np.stack([items[i][1] for i in members]))
+            held = (self.parts[part] for part in members)
+            signs = signatures(np.stack([items[i][1][begin : begin + n] for i, begin, _ in held]))
             order = np.argsort(signs.ravel(), kind="stable")
             self.signs[n] = (signs.ravel()[order], np.repeat(np.array(members), WALKS)[order])
 
@@ -145,7 +162,7 @@ class Block:
         return self
 
     def _starts(self, found: np.ndarray) -> dict[int, np.ndarray]:
-        """By item length: where windows of the text start that hold a whole piece of an item at its place."""
+        """By part length: where windows of the text start that hold a whole piece of a part at its place."""
         starts: dict[int, list[np.ndarray]] = {}
         for size, (hashes, places) in self.seeds.items():
             run = grams(found, size)
@@ -154,8 +171,8 @@ class Block:
                 continue
             low, high = np.searchsorted(hashes, run[at], "left"), np.searchsorted(hashes, run[at], "right")
             for p, a, b in zip(at[high > low], low[high > low], high[high > low]):
-                for i, offset in places[a:b]:
-                    n = len(self.items[i][1])
+                for part, offset in places[a:b]:
+                    n = self.parts[part][2]
                     k = allowed(n)
                     starts.setdefault(n, []).append(np.arange(p - offset - k, p - offset + k + 1))
         return {n: np.unique(np.clip(np.concatenate(s), 0, max(0, len(found) - 1))) for n, s in starts.items()}
@@ -166,28 +183,30 @@ class Block:
         if not len(found):
             return []
         best: dict[int, tuple[int, int, int]] = {}
+        tried: set[tuple[int, int]] = set()
         for n, starts in self._starts(found).items():
             # a window that reaches beyond the text is filled up with 0
             padded = np.concatenate([found, np.zeros(n, U64)])
             table, members = self.signs[n]
-            tried: set[tuple[int, int]] = set()
-            for part in range(0, len(starts), 512):
-                begin = starts[part : part + 512]
+            for at in range(0, len(starts), 512):
+                begin = starts[at : at + 512]
                 signs = signatures(padded[begin[:, None] + np.arange(n)])
                 low, high = np.searchsorted(table, signs, "left"), np.searchsorted(table, signs, "right")
                 for row, walk in zip(*np.nonzero(high > low)):
-                    s = int(begin[row])
-                    for i in members[low[row, walk] : high[row, walk]]:
-                        # neighbouring windows reach the same stretches
-                        k = allowed(n)
-                        near = (int(i), s // (k + 1))
+                    for part in members[low[row, walk] : high[row, walk]]:
+                        i, offset, _ = self.parts[part]
+                        item = self.items[i][1]
+                        # neighbouring windows, and the parts of one item, reach the same stretches
+                        k = allowed(len(item))
+                        near = (i, (int(begin[row]) - offset) // (k + 1))
                         if near in tried:
                             continue
                         tried.add(near)
-                        left = max(0, (s // (k + 1)) * (k + 1) - k)
-                        edits, first, last = best_stretch(self.items[i][1], found[left : s + n + 2 * k + 1])
+                        left = near[1] * (k + 1) - k
+                        right, left = max(0, left + len(item) + 4 * k + 1), max(0, left)
+                        edits, first, last = best_stretch(item, found[left:right], k)
                         if edits <= k and (i not in best or (edits, left + first) < best[i][:2]):
-                            best[int(i)] = (edits, left + first, left + last)
+                            best[i] = (edits, left + first, left + last)
         return [
             {"item_id": self.items[i][0], "first_word": a, "last_word": b, "edits": e} for i, (e, a, b) in sorted(best.items())
         ]
@@ -220,7 +239,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
         def look(batches):
             if shared is not None:
                 block = Block.__new__(Block)
-                block.items, block.seeds, block.signs = shared.value
+                block.items, block.parts, block.seeds, block.signs = shared.value
                 block.prepared()
             for batch in batches:
                 old = batch.column("__hits").to_pylist() if "__hits" in batch.schema.names else [[]] * batch.num_rows
@@ -231,7 +250,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
 
     found, any_block = carried, False
     for block in blocks(benchmark):
-        found = found.mapInArrow(step(sc.broadcast((block.items, block.seeds, block.signs))), schema)
+        found = found.mapInArrow(step(sc.broadcast((block.items, block.parts, block.seeds, block.signs))), schema)
         any_block = True
     if not any_block:
         found = found.mapInArrow(step(None), schema)

@@ -111,6 +111,33 @@ def test_recall_of_edited_items(words, rate):
     assert found >= (60 if rate == 0 else 57)
 
 
+@pytest.mark.parametrize("kind", ["s", "i", "d"])
+@pytest.mark.parametrize("n", [15, 48, 60, 150, 300, 600, 2000])
+def test_recall_does_not_fall_with_length(words, n, kind):
+    draw = random.Random(n)
+    found, trials = 0, 40 if n <= 300 else 20
+    for _ in range(trials):
+        item = [draw.choice(words) for _ in range(n)]
+        block = decontaminate.Block([(1, common.words(" ".join(item).encode()))]).prepared()
+        edited = list(item)
+        for at in sorted(draw.sample(range(n), n // 5), reverse=True):
+            edited[at : at + (kind != "i")] = [] if kind == "d" else [draw.choice(words)]
+        text = [draw.choice(words) for _ in range(50)] + edited + [draw.choice(words) for _ in range(50)]
+        found += bool(block.hits(" ".join(text).encode()))
+    assert found >= 0.95 * trials
+
+
+def test_a_long_item_needs_all_its_parts(words):
+    draw = random.Random(3)
+    item = [draw.choice(words) for _ in range(300)]
+    block = decontaminate.Block([(1, common.words(" ".join(item).encode()))]).prepared()
+    text = [draw.choice(words) for _ in range(300)]
+    text[100:200] = item[100:200]
+    assert block.hits(" ".join(text).encode()) == []
+    hit = block.hits(" ".join(text[:100] + item + text[200:]).encode())
+    assert hit == [{"item_id": 1, "first_word": 100, "last_word": 400, "edits": 0}]
+
+
 def test_texts_beside_an_item_are_clean(words):
     draw = random.Random(9)
     item = [draw.choice(words) for _ in range(40)]
