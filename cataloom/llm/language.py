@@ -1,16 +1,18 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Training. Every text that may be learned from is reduced to lower-case letters, runs of anything else to one blank, and
-its character runs of length ``ORDER`` are counted for each language in Spark: map tasks add up what they see, one
+Letters. A text is reduced to lower-case letters, runs of anything else to one blank. A letter is one symbol, or two where it is
+an ideograph, a Hangul syllable or of a script that ``SINGLE`` does not name; no two letters are spelled alike.
+
+Training. Of every text that may be learned from its runs of symbols of length ``ORDER`` are counted for each language in Spark: map tasks add up what they see, one
 shuffle by run adds the rest. From these counts joins and groupings make the interpolated Kneser-Ney probabilities of
 all orders: the highest order uses counts, lower orders use the number of distinct characters that precede a run.
 
-Model. For each order a sorted array of run hashes and, beside it, the log-probability for every language; where a
-language has not seen a run, the array holds what its lower orders give, so one look-up serves all languages. A run that
-no language has seen is looked up one order below, times the weight of its context. A hash has ``HASH_BITS`` bits and
-keeps the run that was seen most often (ties: the smaller key), so the arrays are bounded by
-``ORDER * 2^HASH_BITS * languages`` numbers whatever the corpus; that bound is checked before anything is broadcast.
-The full run is stored beside its hash: another run with the same hash counts as unseen.
+Model. For each order a hash table of all runs counted and, beside it, the log-probability for every language; where a
+language has not seen a run, the table holds what its lower orders give, so one look-up serves all languages. A run that
+no language has seen is looked up one order below, times the weight of its context. The full run is stored, so no run is
+taken for another. The tables are cut by a hash of the run into shards of at most ``SHARD`` numbers, as many as the runs
+need; each is collected and broadcast by itself, so neither the driver nor a worker holds more than one, unless all of them
+together have at most ``HELD`` numbers. Else a worker reads texts in larger blocks and goes through the shards for each.
 
 Prediction. The language with the least cross-entropy per character wins (ties: the first by name). ``score`` is its
 share of ``exp(-SHARPNESS * cross-entropy)`` over all languages. ``rejected`` is true where the text has no letter or its
@@ -25,40 +27,48 @@ language column) is read, so extra columns change nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cataloom.llm.common import BASE, U64, aside, written
+from cataloom.llm.common import BASE, U64, aside, mix, written
 
-ORDER, CHAR_BITS, HASH_BITS, MAX_LANGUAGES = 5, 12, 20, 256
+ORDER, CHAR_BITS, MAX_LANGUAGES = 5, 12, 256
+SHARD, HELD = 1 << 23, 1 << 25  # numbers of four bytes
 DISCOUNT, SHARPNESS, MARGIN, SHORT = 0.75, 4.0, 1.0, 6.0
 PART = 1 << 20  # characters handled at once
 UNKNOWN = "und"
 _MASK = (1 << CHAR_BITS) - 1
 
 
+#: Code points whose letters are one symbol: all up to Hangul Jamo, Khmer, further Latin and Greek, kana.
+SINGLE = (0, 0x1200), (0x1780, 0x1800), (0x1E00, 0x2000), (0x3040, 0x3130)
+
+
 @lru_cache(1)
 def fold_table() -> np.ndarray:
-    """Code point -> small number of its lower-case letter, 0 for what is no letter."""
-    table = np.zeros(0x110000, np.uint16)
-    half = 1 << (CHAR_BITS - 1)
-    for point in range(0x110000):
-        char = chr(point)
-        if char.isalpha():
-            low = ord(char.lower()[0])
-            # letters beyond the first half share the second by a hash
-            table[point] = low if 0 < low < half else half + low * 2654435761 % (1 << 32) * half // (1 << 32)
+    """Code point -> the symbol of its lower-case letter, plus a second one times 2^CHAR_BITS; 0 for what is no letter."""
+    lows = {p: ord(chr(p).lower()[0]) for p in range(0x110000) if chr(p).isalpha()}
+    letters = sorted(set(lows.values()))
+    single = [x for x in letters if any(a <= x < b for a, b in SINGLE)]
+    code = {x: 1 + i for i, x in enumerate(single)}
+    lead = {h: 1 + len(single) + i for i, h in enumerate(sorted({x >> 10 for x in letters if x not in code}))}
+    second = 1 + len(single) + len(lead)
+    assert second + 1024 <= 1 << CHAR_BITS
+    table = np.zeros(0x110000, np.uint32)
+    for point, low in lows.items():
+        table[point] = code[low] if low in code else lead[low >> 10] | (second + (low & 1023)) << CHAR_BITS
     return table
 
 
-def runs(text: str | None, fold: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """Keys of the runs of ORDER characters of a text, in parts; each run ends at another character of the text."""
+def runs(text: str | None, fold: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Keys of the runs of ORDER symbols of a text, in parts; each run ends at another symbol. The characters, the letters."""
     tail = np.zeros(ORDER - 1, np.int64)
     for at in range(0, len(text or ""), PART):
         found = fold[np.frombuffer(text[at : at + PART].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
@@ -66,76 +76,132 @@ def runs(text: str | None, fold: np.ndarray) -> Iterator[tuple[np.ndarray, int]]
         found = found[(found != 0) | (both[:-1] != 0)]
         if not len(found):
             continue
+        n, letters = len(found), int(np.count_nonzero(found))
+        wide = found > _MASK
+        if wide.any():
+            ends = np.cumsum(1 + wide) - 1
+            symbols = np.repeat(found & _MASK, 1 + wide)
+            symbols[ends[wide]] = found[wide] >> CHAR_BITS
+            found = symbols
         chars = np.concatenate([tail, found])
         key = np.zeros(len(found), np.int64)
         for k in range(ORDER):
             key = (key << CHAR_BITS) | chars[k : k + len(found)]
         tail = chars[len(chars) - ORDER + 1 :]
-        yield key, int(np.count_nonzero(found))
+        yield key, n, letters
+
+
+def slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.astype(U64) * BASE) >> U64(64 - bits)).astype(np.int64)
+
+
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(key.astype(U64)) % U64(shards)).astype(np.int64)
 
 
-def slots(key: np.ndarray) -> np.ndarray:
-    return ((key.astype(U64) * BASE) >> U64(64 - HASH_BITS)).astype(np.int64)
+class Shard:
+    """Keys and their log-probabilities (rows x languages) with a hash table of open addressing over all of them."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+        self.bits = max(1, (2 * len(keys)).bit_length())
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), slots(keys, self.bits)
+        while len(left):
+            free = self.place[at] < 0
+            self.place[at[free]] = left[free]
+            lost = self.place[at] != left
+            left, at = left[lost], self._next(at[lost])
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where there is none."""
+        at = slots(key, self.bits)
+        row = self.place[at]
+        left = np.flatnonzero((row >= 0) & (self.keys[row] != key))
+        while len(left):
+            at[left] = self._next(at[left])
+            row[left] = self.place[at[left]]
+            left = left[(row[left] >= 0) & (self.keys[row[left]] != key[left])]
+        return row
+
+    def add(self, total: np.ndarray, owner: np.ndarray, row: np.ndarray) -> None:
+        """Add the logs of rows to the totals of their owners (ascending)."""
+        for part in range(0, len(row), 8192):
+            own = owner[part : part + 8192]
+            first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
+            total[own[first]] += np.add.reduceat(self.logs[row[part : part + 8192]], first, axis=0, dtype=np.float64)
 
 
 @dataclass
 class Model:
-    """Per order (1 to ORDER): sorted hashes, full keys, log-probabilities (rows x languages), context weights."""
+    """Per order (1 to ORDER): the shards of the runs and of the contexts, all broadcast."""
 
     languages: list[str]
-    hashes: dict[int, np.ndarray]
-    keys: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
-    context_keys: dict[int, np.ndarray]
-    context_logs: dict[int, np.ndarray]
+    tables: dict[int, list[Broadcast]]
+    contexts: dict[int, list[Broadcast]]
+    held: bool
     floor: float
-    fold: np.ndarray
-
-    def start(self) -> None:
-        """Where each hash stands in its sorted array; made in the worker and not shipped."""
-        self.place = {}
-        for order, hashes in self.hashes.items():
-            place = np.full(1 << HASH_BITS, -1, np.int32)
-            place[hashes] = np.arange(len(hashes), dtype=np.int32)
-            self.place[order] = place
-
-    def _find(self, order: int, key: np.ndarray) -> np.ndarray:
-        at = self.place[order][slots(key)]
-        at[self.keys[order][at] != key] = -1
-        return at
-
-    def log_likelihood(self, key: np.ndarray) -> np.ndarray:
-        """Sum of the log-probabilities of runs, by language."""
-        total, weight = np.zeros(len(self.languages)), None
+    fold: Broadcast
+
+    def _each(self, shards: list[Broadcast], key: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
+        """Every shard that has some of the keys, and which."""
+        of = shard_of(key, len(shards)) if len(shards) > 1 else np.zeros(len(key), np.int64)
+        for i, shared in enumerate(shards):
+            mine = np.flatnonzero(of == i)
+            if len(mine):
+                yield shared.value, mine
+                if not self.held and getattr(shared, "_path", None):
+                    vars(shared).pop("_value", None)  # read again from the executor's disk when wanted
+
+    def add(self, total: np.ndarray, owner: np.ndarray, key: np.ndarray) -> None:
+        """Add the log-probabilities of runs, by language, to the totals of their owners (ascending)."""
         for order in range(ORDER, 0, -1):
-            if not len(self.keys[order]):
+            if not self.tables[order]:
                 continue
-            at = self._find(order, key)
-            seen = at >= 0
-            hits = at if seen.all() else at[seen]
-            for part in range(0, len(hits), 8192):
-                total += self.logs[order][hits[part : part + 8192]].sum(axis=0, dtype=np.float64)
-            if len(hits) == len(key):
-                return total
-            key = key[~seen]
+            lacking = np.ones(len(key), bool)
+            for shard, mine in self._each(self.tables[order], key):
+                row = shard.find(key[mine])
+                hit = row >= 0
+                lacking[mine[hit]] = False
+                shard.add(total, owner[mine[hit]], row[hit])
+            key, owner = key[lacking], owner[lacking]
+            if not len(key):
+                return
             if order > 1:
-                # the context is the run without its last character; a language that has not seen it adds nothing
+                # the context is the run without its last symbol; a language that has not seen it adds nothing
                 context = key >> CHAR_BITS
-                found = np.searchsorted(self.context_keys[order], context)
-                found[found == len(self.context_keys[order])] = 0
-                if len(self.context_keys[order]):
-                    hit = self.context_keys[order][found] == context
-                    total += self.context_logs[order][found[hit]].sum(axis=0)
+                for shard, mine in self._each(self.contexts[order], context):
+                    row = shard.find(context[mine])
+                    shard.add(total, owner[mine[row >= 0]], row[row >= 0])
                 key = key & ((1 << CHAR_BITS * (order - 1)) - 1)
-        return total + len(key) * self.floor
+        total += np.bincount(owner, minlength=len(total))[:, None] * self.floor
+
+    def read(self, found: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the cross-entropy per character by language, the characters and the letters."""
+        total = np.zeros((len(found), len(self.languages)))
+        n, letters = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        block = PART if self.held else 4 * PART
+        keys: list[np.ndarray] = []
+        owners: list[int] = []
+        size = 0
+
+        def settle() -> None:
+            if keys:
+                self.add(total, np.repeat(owners, [len(k) for k in keys]), np.concatenate(keys))
 
-    def read(self, text: str | None) -> tuple[np.ndarray | None, int]:
-        """Cross-entropy per character by language; number of characters (None, 0 without letters)."""
-        total, n, letters = np.zeros(len(self.languages)), 0, 0
-        for key, some in runs(text, self.fold):
-            total += self.log_likelihood(key)
-            n, letters = n + len(key), letters + some
-        return (-total / n, n) if letters else (None, 0)
+        for i, text in enumerate(found):
+            for key, chars, some in runs(text, self.fold.value):
+                keys.append(key)
+                owners.append(i)
+                n[i], letters[i], size = n[i] + chars, letters[i] + some, size + len(key)
+                if size >= block:
+                    settle()
+                    keys, owners, size = [], [], 0
+        settle()
+        return -total / np.maximum(n, 1)[:, None], n, letters
 
 
 def _counted(docs: DataFrame, lang: str) -> DataFrame:
@@ -147,7 +213,7 @@ def _counted(docs: DataFrame, lang: str) -> DataFrame:
         size = 0
         for batch in batches:
             for text, name in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                for key, letters in runs(text, fold.value):
+                for key, _, _ in runs(text, fold.value):
                     held.setdefault(name, []).append(key)
                     size += len(key)
                     if size > 8 * PART:
@@ -179,10 +245,10 @@ def _probabilities(counts: DataFrame, languages: list[str]) -> dict[int, tuple[D
         own = levels[order].withColumn("context", F.shiftright("key", CHAR_BITS))
         context = own.groupBy("lang", "context").agg(F.sum("n").alias("all_n"), F.count("*").alias("kinds"))
         context = context.withColumn("weight", F.col("kinds") * DISCOUNT / F.col("all_n"))
-        seen = own.groupBy("key").agg(F.sum("n").alias("seen"))
+        seen = own.select("key").distinct()
         # every run that some language has seen, for every language (at most MAX_LANGUAGES rows each)
         every = F.explode(F.array(*map(F.lit, languages))).alias("lang")
-        grid = seen.select("key", "seen", every, F.shiftright("key", CHAR_BITS).alias("context"))
+        grid = seen.select("key", every, F.shiftright("key", CHAR_BITS).alias("context"))
         full = grid.join(own.select("lang", "key", "n"), ["lang", "key"], "left").join(
             context.select("lang", "context", "all_n", "weight"), ["lang", "context"], "left"
         )
@@ -194,35 +260,39 @@ def _probabilities(counts: DataFrame, languages: list[str]) -> dict[int, tuple[D
             below = F.col("below")
         own_share = F.greatest(F.coalesce(F.col("n"), F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col("all_n")
         p = F.when(F.col("all_n").isNull(), below).otherwise(own_share + F.col("weight") * below)
-        lower = written(full.select("lang", "key", "seen", p.alias("p")), "probabilities")
-        out[order] = lower, context.select("lang", F.col("context").alias("key"), F.col("all_n").alias("seen"), F.col("weight").alias("p"))
+        lower = written(full.select("lang", "key", p.alias("p")), "probabilities")
+        out[order] = lower, context.select("lang", F.col("context").alias("key"), F.col("weight").alias("p"))
     return out
 
 
-def _arrays(found: DataFrame, languages: list[str], absent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, keys and log-probabilities; one run for each hash, so the size is bounded."""
+def _shards(found: DataFrame, languages: list[str], absent: float) -> tuple[list[Broadcast], int]:
+    """All keys with their log-probabilities in broadcasts of at most about SHARD numbers; the numbers in all."""
     place = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     pairs = F.collect_list(F.struct(place[F.col("lang")].alias("i"), F.log("p").cast("float").alias("log")))
-    rows = found.groupBy("key").agg(F.sum("seen").alias("seen"), pairs.alias("logs"))
-    by_hash = Window.partitionBy("slot").orderBy(F.desc("seen"), "key")
+    rows = written(found.groupBy("key").agg(pairs.alias("logs")), "rows")
+    numbers = rows.count() * (len(languages) + 6)  # a key is two, its place in the hash table up to four
+    shards = -(-numbers // SHARD)
 
-    def slot(batches):
+    def cut(batches):
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots(key))], names=[*batch.schema.names, "slot"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("slot", T.LongType())])
-    best = rows.mapInArrow(slot, schema).withColumn("rank", F.row_number().over(by_hash)).where("rank = 1")
-    # at most 2^HASH_BITS rows, in ORDER calls
-    got = best.select("slot", "key", "logs").toArrow()
-    hashes, keys = got.column("slot").to_numpy(), got.column("key").to_numpy()
-    logs = np.full((len(keys), len(languages)), absent, np.float32)
-    lists = got.column("logs").combine_chunks()
-    row = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy())) if len(keys) else np.zeros(0, np.int64)
-    flat = lists.flatten()
-    logs[row, flat.field("i").to_numpy(zero_copy_only=False)] = flat.field("log").to_numpy(zero_copy_only=False)
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], keys[order], logs[order]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard_of(key, shards))], names=[*batch.schema.names, "shard"])
+
+    if shards > 1:
+        schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.LongType())])
+        rows = written(rows.mapInArrow(cut, schema).repartition("shard"), "rows")
+    out = []
+    for i in range(shards):
+        got = (rows.where(F.col("shard") == i) if shards > 1 else rows).select("key", "logs").toArrow()
+        keys = got.column("key").to_numpy()
+        logs = np.full((len(keys), len(languages)), absent, np.float32)
+        lists = got.column("logs").combine_chunks()
+        row = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy())) if len(keys) else np.zeros(0, np.int64)
+        flat = lists.flatten()
+        logs[row, flat.field("i").to_numpy(zero_copy_only=False)] = flat.field("log").to_numpy(zero_copy_only=False)
+        order = np.argsort(keys, kind="stable")
+        out.append(found.sparkSession.sparkContext.broadcast(Shard(keys[order], logs[order])))
+    return out, numbers
 
 
 def train(docs: DataFrame, lang: str = "lang") -> Model:
@@ -231,39 +301,39 @@ def train(docs: DataFrame, lang: str = "lang") -> Model:
     languages = sorted(r.l for r in found.limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    empty = {o: np.zeros(0, np.int64) for o in range(1, ORDER + 1)}
-    blank = {o: np.zeros((0, len(languages)), np.float32) for o in empty}
-    model = Model(languages, dict(empty), dict(empty), dict(blank), dict(empty), dict(blank), float(-CHAR_BITS * np.log(2)), fold_table())
+    empty = {o: [] for o in range(1, ORDER + 1)}
+    fold = docs.sparkSession.sparkContext.broadcast(fold_table())
+    model = Model(languages, dict(empty), dict(empty), True, float(-CHAR_BITS * np.log(2)), fold)
     if languages:
+        numbers = 0
         for order, (full, context) in _probabilities(_counted(docs, lang), languages).items():
-            model.hashes[order], model.keys[order], model.logs[order] = _arrays(full, languages, 0.0)
-            _, keys, logs = _arrays(context, languages, 0.0)
-            by_key = np.argsort(keys, kind="stable")
-            model.context_keys[order], model.context_logs[order] = keys[by_key], logs[by_key]
+            model.tables[order], own = _shards(full, languages, 0.0)
+            model.contexts[order], further = _shards(context, languages, 0.0)
+            numbers += own + further
+        model.held = numbers <= HELD
     return model
 
 
 def _scored(docs: DataFrame, model: Model, limits: dict[str, float], keep: list[str]) -> DataFrame:
     """``keep`` and ``lang_pred, score, entropy, chars, rejected`` of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(asdict(model))
     schema = T.StructType(
         [docs.schema[c] for c in keep]
         + T._parse_datatype_string("lang_pred string, score double, entropy double, chars bigint, rejected boolean").fields
     )
 
     def predict(batches):
-        held = Model(**shared.value)
-        held.start()
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                entropy, n = held.read(text) if held.languages else (None, 0)
-                if entropy is None:
+            found = batch.column("text").to_pylist()
+            entropies, chars, letters = model.read(found) if model.languages else (None, None, np.zeros(len(found)))
+            for i, some in enumerate(letters):
+                if not some:
                     out.append((UNKNOWN, 0.0, None, 0, True))
                     continue
+                entropy, n = entropies[i], int(chars[i])
                 best = int(np.argmin(entropy))
                 share = 1.0 / float(np.exp(-SHARPNESS * (entropy - entropy[best])).sum())
-                name, least = held.languages[best], float(entropy[best])
+                name, least = model.languages[best], float(entropy[best])
                 out.append((name, share, least, n, least > limits.get(name, np.inf) + SHORT / n**0.5))
             cols = list(zip(*out)) if out else [()] * 5
             kinds = pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()
