@@ -16,8 +16,11 @@ together have at most ``HELD`` numbers. Else a worker reads texts in larger bloc
 
 Prediction. The language with the least cross-entropy per character wins (ties: the first by name). ``score`` is its
 share of ``exp(-SHARPNESS * cross-entropy)`` over all languages. ``rejected`` is true where the text has no letter or its
-cross-entropy is above that of nearly all calibration texts of the language: the highest value a calibration text of the
-language had, plus ``MARGIN`` and ``SHORT / sqrt(characters)`` nats. Calibration texts are kept out of the counts.
+cross-entropy is above that of nearly all calibration texts of the language: the value that a share ``QUANTILE`` of those that
+are predicted as labelled stay below, plus ``MARGIN`` and ``SHORT / sqrt(characters)`` nats. So a few garbled or mislabelled texts
+do not lift it, however many rows there are. A language with fewer than ``FEW`` such texts takes that value of all languages together,
+or its own median if that is higher; without any such text in any language nothing but letterless texts is rejected. Calibration texts
+are kept out of the counts.
 
 Null, empty and letterless texts give ``und``, score 0, rejected. Rows whose language is null teach nothing. With nothing
 to learn from, every text is ``und``. Repeated rows count as often as they occur; only ``text`` (and, in training, the
@@ -41,7 +44,7 @@ from cataloom.llm.common import BASE, U64, aside, mix, written
 
 ORDER, CHAR_BITS, MAX_LANGUAGES = 5, 12, 256
 SHARD, HELD = 1 << 23, 1 << 25  # numbers of four bytes
-DISCOUNT, SHARPNESS, MARGIN, SHORT = 0.75, 4.0, 1.0, 6.0
+DISCOUNT, SHARPNESS, MARGIN, SHORT, QUANTILE, FEW = 0.75, 4.0, 1.0, 6.0, 0.95, 20
 PART = 1 << 20  # characters handled at once
 UNKNOWN = "und"
 _MASK = (1 << CHAR_BITS) - 1
@@ -347,8 +350,16 @@ def _scored(docs: DataFrame, model: Model, limits: dict[str, float], keep: list[
 def limits(docs: DataFrame, model: Model, lang: str = "lang") -> dict[str, float]:
     """Per language the cross-entropy above which a text is not of it, from texts the model has not learned from."""
     named = docs.select(F.col(lang).alias("named"), "text").where("named is not null")
-    found = _scored(named, model, {}, ["named"]).where("lang_pred = named").groupBy("named")
-    return {r.named: r.most + MARGIN for r in found.agg(F.max(F.expr(f"entropy - {SHORT} / sqrt(chars)")).alias("most")).collect()}
+    found = _scored(named, model, {}, ["named"]).where("lang_pred = named")
+    value = F.expr(f"entropy - {SHORT} / sqrt(chars)")
+    most = F.percentile_approx(value, [0.5, QUANTILE], 10_000)
+    rows = found.rollup("named").agg(F.count("*").alias("n"), most.alias("most")).collect()
+    pooled = next((r.most[1] for r in rows if r.named is None and r.n), np.inf)
+    out = dict.fromkeys(model.languages, pooled + MARGIN)
+    for r in rows:
+        if r.named is not None:
+            out[r.named] = (r.most[1] if r.n >= FEW else max(pooled, r.most[0])) + MARGIN
+    return out
 
 
 def identify(docs: DataFrame, train_on: DataFrame, calibrate_on: DataFrame, keep: list[str]) -> DataFrame:

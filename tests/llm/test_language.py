@@ -37,3 +37,20 @@ def test_every_run_is_in_the_shards(make, monkeypatch):
     kept = ["doc_id", "text"]
     rows = [language._scored(docs, m, {}, kept).select("lang_pred", "chars", "rejected").collect() for m in (whole, cut)]
     assert rows[0] == rows[1]
+
+
+def test_labelled_noise_does_not_switch_rejection_off(make):
+    draw = random.Random(16)
+    tongues = {"en": ["the", "and", "thing", "shall", "with", "other"], "fr": ["que", "les", "dans", "mais", "être", "nous"]}
+
+    def noise():
+        return " ".join("".join(draw.choice("qxzjkvw") for _ in range(8)) for _ in range(40))
+
+    learn, calibrate = ([(i, " ".join(draw.choice(tongues[t]) for _ in range(40)), t, None) for i in range(100) for t in tongues] for _ in range(2))
+    few = [(i, "ђеља њива жућа " * 10, "sr", None) for i in range(3)]
+    docs = make([(0, noise(), None, None), (1, calibrate[0][1], None, None), (2, few[0][1], None, None)])
+    odd = [(1000 + i, noise(), t, None) for i in range(3) for t in tongues]
+    model = language.train(make(learn + few))
+    found = language._scored(docs, model, language.limits(make(calibrate + odd), model), ["doc_id"]).collect()
+    assert {r.doc_id: r.rejected for r in found} == {0: True, 1: False, 2: False}
+    assert np.isfinite(language.limits(make(calibrate), model)["sr"])
