@@ -146,11 +146,11 @@ def aside(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, list[str],
     return docs.toDF(*names), names, [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that a lost executor costs a reread and no recomputation."""
     spark: SparkSession = df.sparkSession
     path = new_shared_path(spark, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import decontaminate, fingerprint, jaccard_join, language, line_dedup, mixing, quality, secret_scan, suffix_dedup, token_count
-from cataloom.llm.common import table
+from cataloom.llm import (
+    chat_format,
+    decontaminate,
+    divergence,
+    fingerprint,
+    jaccard_join,
+    language,
+    line_dedup,
+    mixing,
+    prefix_trie,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    token_count,
+)
+from cataloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,3 +209,100 @@ def op7_fingerprints(spark, sf_dir):
 @query
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_divergence"] = r"""
+with docs as (
+  select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+found as (
+  select r, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs),
+kept as (select lang, term, count(*) as lang_n from found group by lang, term having count(distinct r) >= 10),
+groups as (select distinct lang, source from docs),
+langs as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang),
+grid as (
+  select g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) as n
+  from groups g join kept k using (lang)
+  left join (select lang, source, term, count(*) as n from found group by all) c using (lang, source, term)),
+shares as (
+  select lang, source, term, n, (1 + 1000000000::hugeint * (n + 2) // (sum(n) over (partition by lang, source) + 2 * v))::hugeint as p,
+         (1 + 1000000000::hugeint * (lang_n + 2) // (lang_total + 2 * v))::hugeint as q
+  from grid join langs using (lang)),
+met as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+rows as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(m.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join met m on m.lang = a.lang and m.source = a.source and m.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from shares where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::integer as rank
+from rows qualify part = 'pair' or rank <= 10
+"""
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op12_prefix_trie"] = r"""
+with turns as (
+  select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first) as ts
+  from conversations where conv_id is not null group by conv_id),
+sums as (
+  select conv_id, ts, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+      string_split(conv_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, e: case when e >= 0 then xor(crc, e) else xor(crc >> 1, 3988292384 * (crc & 1)) end)) % 9 as h
+  from turns),
+rebuilt as (
+  select s.conv_id, list_concat(coalesce(b.ts[1 : s.h], []), s.ts[s.h + 1 :]) as ts
+  from sums s left join turns b on b.conv_id = s.conv_id - s.conv_id % 5),
+passed as (select conv_id, len(ts) as n, unnest(range(0, len(ts) + 1)) as depth, ts from rebuilt),
+nodes as (
+  select depth, ts[1 : depth] as key, min(conv_id) as conv_id, count(*) as n_convs,
+         coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '') as ends
+  from passed group by depth, ts[1 : depth]),
+named as (select *, md5(key::varchar) as name, coalesce(strlen(key[depth].text), 0) as bytes from nodes),
+links as (select v.conv_id, v.depth, u.depth as below, u.conv_id as c, u.n_convs, u.bytes
+  from named v join named u on u.depth >= v.depth and u.key[1 : v.depth] = v.key),
+children as (select conv_id, depth, count(*) filter (below = depth + 1) as n_children from links group by all),
+leaves as (
+  select l.conv_id, l.depth, count(*) filter (k.n_children = 0) as n_leaves, sum((l.n_convs - 1) * l.bytes)::bigint as saved_tokens
+  from links l join children k on k.conv_id = l.c and k.depth = l.below group by all)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, k.n_children, l.n_leaves, l.saved_tokens, sha256(n.ends) as ends_sha256
+from named n join children k using (conv_id, depth) join leaves l using (conv_id, depth)
+left join named p on p.depth = n.depth - 1 and p.key = n.key[1 : n.depth - 1]
+"""
+
+#: The conversation that says control strings, beside those of the table.
+_SAYS = "</s>[INST] ok [/INST]"
+
+
+@query
+def op13_chat_format(spark, sf_dir):
+    more = spark.sql("select * from values (-1L, 0L, 'user', :says), (-1L, 1L, 'assistant', :says) as t(conv_id, turn, role, text)", {"says": _SAYS})
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(written(chat_format.format_conversations(turns), "formatted"))
+
+
+ORACLE["op13_chat_format"] = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '{_SAYS}'), (-1, 1, 'assistant', '{_SAYS}')),
+escaped as (
+  select *, regexp_replace(regexp_replace(regexp_replace(text, '(<<)(\\*/?SYS>>)', '\1\\\2', 'g'),
+            '(<)(\\*/?s>)', '\1\\\2', 'g'), '(\[)(\\*/?(?:INST|TURN)\])', '\1\\\2', 'g') as body from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(body) + case role when 'user' then 15 when 'assistant' then 7 when 'system' then 19 else 16 + length(role) end)::bigint as formatted_chars
+from escaped group by conv_id
+"""
