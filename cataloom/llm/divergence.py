@@ -2,29 +2,30 @@
 
 Which terms set a source apart from its language, and how far the sources of a language are from each other.
 
-1. *Chunks are counted per document.* A task counts the white-space chunks of each document once; for a block of documents it
-   lists, per distinct chunk, the documents that have it and how often (``posting``, delta-coded).
-2. *Each globally distinct chunk is tokenized once*: ``terms`` has a row for each term of each distinct chunk.
-3. *Terms are joined back* to the blocks' chunks. Within a block the documents of a term are the union of those of its chunks, so
-   ``The``, ``the`` and ``the,`` in one document are one document and three occurrences.
-4. Blocks add up to occurrences and distinct documents by (lang, source, term).
-
-The join is by chunk and can be split where a chunk is hot; a block's merge sees one share of the block's terms at a time; sums
-combine in the map tasks. What the whole vocabulary needs is never in one place.
+1. *Chunks are counted per document.* Documents are taken in blocks of up to ``BLOCK_BYTES``; a block keeps, for each document, the
+   distinct white-space chunks and how often they stand in it, as numbers into the block's list of distinct chunks.
+2. *Each globally distinct chunk is tokenized once.* The lists, without the counts, are dealt by chunk; a bucket meets every chunk
+   in one place, so it is tokenized when first seen.
+3. *Terms are joined back* to the blocks: the bucket's answers go back to each block that asked, and a document's terms are the union of
+   those of its chunks, so ``The``, ``the`` and ``the,`` in one document are one document and three occurrences.
+4. Blocks add up to occurrences and distinct documents by (lang, source, term), dealt by term.
+
+A chunk is in a block's list once however often it stands there, so no bucket is hot, and counts meet by term only after each block has
+added its own. A block and bucket is one row: its strings joined by blanks, its numbers as bytes. What the whole vocabulary needs is
+never in one place.
 
 Sources are compared by blocks of terms: a task holds TILE x TILE sources and the share of a language's kept terms that falls into its bucket,
 and gives its part of the sums. A term that neither tile's sources have adds the same value to a pair each time, so those are only counted.
 
 Terms are runs of ASCII letters and of anything beyond ASCII; only A-Z are lower-cased. All arithmetic is on whole numbers. Null
 text, lang and source are read as empty; a document without terms counts for its group; each row is a document, equal rows too. An
-empty table gives no row. Only ``text, lang, source`` are read.
+empty table gives no row. Very long texts are read in segments. Only ``text, lang, source`` are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,202 +33,338 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import segments, texts, written
+from cataloom.llm.common import U64, hash_words, segments, texts, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term in UTF-8: letters of ASCII and all bytes of other characters.
+TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Documents of its language that a kept term is in; what p is scaled to; smoothing; top terms of a group.
 LEAST_DOCS, SCALE, SMOOTH, TOP = 10, 1_000_000_000, 2, 10
-#: Shares of a block's terms that are merged apart; sources of a tile; kept terms of a bucket, on average, for the largest language.
-SHARES, TILE, BUCKET_ROWS = 8, 64, 1 << 16
-
-
-def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers as bytes of 7 bits, the low ones first, a set high bit for more; and the bytes that each takes."""
-    values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    rest = values >> np.uint64(7)
-    while rest.any():
-        size += rest > 0
-        rest >>= np.uint64(7)
-    begin = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max(initial=0))):
-        has = size > k
-        out[begin[has] + k] = (values[has] >> np.uint64(7 * k)) & np.uint64(127) | np.where(size[has] > k + 1, 128, 0).astype(np.uint64)
-    return out, size
-
-
-def from_varints(data: np.ndarray) -> np.ndarray:
-    if not len(data):
+#: Bytes of text in a block; bytes split at once; sums that a bucket holds before it adds them up.
+BLOCK_BYTES, SPLIT_BYTES, HELD = 12 << 20, 4 << 20, 1 << 20
+#: Sources of a tile; kept terms of a bucket, on average, for the largest language.
+TILE, BUCKET_ROWS = 64, 1 << 16
+LARGE = 9_000_000_000  # counts up to here keep SCALE * count within 64 bits
+
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    """A record batch from Python columns or Arrow arrays, by a DDL schema."""
+    fields = [f.split() for f in schema.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+def to_bytes(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as bytes, all low ones first: the high ones are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def from_bytes(data: bytes, kind: str = "<u4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = np.frombuffer(data, np.uint8).reshape(size, len(data) // size)
+    return np.ascontiguousarray(parts.T).reshape(-1).view(kind).astype(np.int64)
+
+
+def _bucket_of(values: pa.Array, buckets: int) -> np.ndarray:
+    """A number below ``buckets`` for each string; none is empty."""
+    if not len(values):
         return np.zeros(0, np.int64)
-    begin = np.flatnonzero(np.concatenate([[True], data[:-1] < 128]))
-    place = np.arange(len(data)) - np.repeat(begin, np.diff(begin, append=len(data)))
-    return np.add.reduceat((data.astype(np.int64) & 127) << (7 * place), begin)
+    values = pa.concat_arrays([values])
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(values.buffers()[2], np.uint8)[: ends[-1]]
+    return (hash_words(data, ends[:-1], ends[1:]) % U64(buckets)).astype(np.int64)
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """The stable order of some keys from 0 on; keys and places are sorted as one number where they fit."""
+    bits = max(1, len(key)).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits > 62:
+        return np.argsort(key, kind="stable")
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
 
 
-_COUNTED = "block bigint, lang string, chunk string, docs bigint, posting binary, sources array<string>, starts array<int>"
-_SOURCES, _STARTS = pa.list_(pa.string()), pa.list_(pa.int32())
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each bucket, in order."""
+    order = _order(bucket)
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    yield from zip(bucket[order][first].tolist(), np.split(order, first[1:]))
 
 
-def _postings(found: list[bytes]) -> tuple[list[bytes], np.ndarray, pa.Array]:
-    """The distinct chunks of a block's documents, in how many each is, and its posting."""
-    number = count()
-    index: dict[bytes, int] = {}
-    ids: list[int] = []
-    times: list[int] = []
-    sizes = []
-    for text in found:
-        counter: Counter[bytes] = Counter()
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each group of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(_starts(sizes), sizes)
+
+
+def _joined(values: pa.Array, sizes: list[int]) -> pa.Array:
+    """Runs of strings, each joined by blanks."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values), " ")
+
+
+def _split(parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of texts, and the text of each."""
+    lists = pc.ascii_split_whitespace(pa.array(parts, pa.binary()).view(pa.string()))
+    chunks, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    full = pc.greater(pc.binary_length(chunks), 0)
+    return chunks.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+
+
+def chunk_counts(found: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct chunks of some documents, and document, chunk and count of every pair that occurs."""
+    lists, docs, ids, counts, seen = [], [], [], [], 0
+    held, owners, size = [], [], 0
+
+    def flush():
+        nonlocal seen, size
+        chunks, owner = _split(held)
+        if len(chunks):
+            coded = chunks.dictionary_encode()
+            wide = len(coded.dictionary)
+            pair, n = np.unique(np.array(owners)[owner] * wide + coded.indices.to_numpy(), return_counts=True)
+            lists.append(coded.dictionary)
+            docs.append(pair // wide)
+            ids.append(pair % wide + seen)
+            counts.append(n)
+            seen += wide
+        held.clear()
+        owners.clear()
+        size = 0
+
+    for doc, text in enumerate(found):
         for part in segments(text):
-            counter.update(part.split())
-        for chunk in counter.keys() - index.keys():
-            index[chunk] = next(number)
-        ids.extend(map(index.__getitem__, counter))
-        times.extend(counter.values())
-        sizes.append(len(counter))
-    ids_, doc = np.array(ids, np.int64), np.repeat(np.arange(len(found)), sizes)
-    order = np.argsort(ids_, kind="stable")
-    ids_, doc, n = ids_[order], doc[order], np.array(times, np.int64)[order]
-    docs = np.bincount(ids_, minlength=len(index))
-    first = np.cumsum(docs) - docs
-    delta = np.diff(doc, prepend=0)
-    delta[first] = doc[first]
-    data, size = varints(np.stack([delta, n - 1], axis=1).ravel())
-    ends = np.concatenate([[0], np.cumsum(size)])[2 * np.concatenate([first, [len(ids_)]])]
-    postings = pa.Array.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-    return list(index), docs, postings
-
-
-def count_chunks(docs: DataFrame) -> DataFrame:
-    """A row ``block, chunk, docs, posting`` per distinct chunk of a block, and one per block that says whose documents it has.
-
-    A block is the documents of one language in one Arrow batch, sorted by source; ``sources`` begin at ``starts``.
+            if held and size + len(part) > SPLIT_BYTES:
+                flush()
+            held.append(part)
+            owners.append(doc)
+            size += len(part)
+    if held:
+        flush()
+    if not lists:
+        return pa.array([], pa.string()), *(np.zeros(0, np.int64) for _ in range(3))
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    doc, chunk, n = np.concatenate(docs), coded.indices.to_numpy()[np.concatenate(ids)].astype(np.int64), np.concatenate(counts)
+    # a long document stands in several parts, with the same chunks
+    wide = len(coded.dictionary)
+    pair = doc * wide + chunk
+    if len(lists) > 1:
+        order = _order(pair)
+        first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        pair, n = pair[order][first], np.add.reduceat(n[order], first)
+    return coded.dictionary, pair // wide, pair % wide, n
+
+
+_COUNTED = "block bigint, bucket bigint, first bigint, chunks string, langs array<string>, sources array<string>, sizes binary, ids binary, counts binary"
+
+
+def count_chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Per block a row with its documents (bucket -1: group and number of pairs of each, chunk and count of each pair), and a row for
+    each bucket with the block's distinct chunks that fall into it; ``first`` is the place of the first one in the block's list.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    names = [f.split()[0] for f in _COUNTED.split(", ")]
+
+    def block_rows(block: int, found: list[bytes], groups: list[tuple[str, str]]):
+        chunks, doc, ids, n = chunk_counts(found)
+        dealt = list(_dealt(_bucket_of(chunks, buckets)))
+        order = np.concatenate([at for _, at in dealt]) if dealt else np.zeros(0, np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        about = [[[g[k] for g in groups]] for k in (0, 1)]
+        numbers = [[to_bytes(np.bincount(doc, minlength=len(found)))], [to_bytes(place[ids])], [to_bytes(n, "<u8")]]
+        yield _batch(_COUNTED, [[block], [-1], [None], [None], *about, *numbers])
+        if dealt:
+            sizes, none = [len(at) for _, at in dealt], [None] * len(dealt)
+            joined = _joined(chunks.take(pa.array(order)), sizes)
+            yield _batch(_COUNTED, [[block] * len(dealt), [b for b, _ in dealt], _starts(np.array(sizes)), joined, none, none, none, none, none])
 
     def read(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
-            lang, source, found = batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts(batch)
-            order = sorted(range(len(found)), key=lambda i: (lang[i], source[i]))
-            at = 0
-            while at < len(order):
-                now = lang[order[at]]
-                end = at
-                while end < len(order) and lang[order[end]] == now:
-                    end += 1
-                mine = order[at:end]
-                owners = [source[i] for i in mine]
-                begins = [k for k, s in enumerate(owners) if k == 0 or owners[k - 1] != s]
-                chunks, n, postings = _postings([found[i] for i in mine])
-                block, at = block + 1, end
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([now]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                     pa.array([[owners[k] for k in begins]], _SOURCES), pa.array([begins], _STARTS)], names=names)
-                if chunks:
-                    k = len(chunks)
-                    same = pa.array([now]).take(pa.array(np.zeros(k, np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, block)), same, pa.array(chunks, pa.binary()).view(pa.string()), pa.array(n), postings,
-                         pa.nulls(k, _SOURCES), pa.nulls(k, _STARTS)], names=names)
+            found, groups = texts(batch), list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
+            if not found:
+                continue
+            ends = np.cumsum([len(t) for t in found])
+            parts = max(1, -(-int(ends[-1]) // BLOCK_BYTES))
+            cuts = np.unique([0, *np.searchsorted(ends, [ends[-1] * k // parts for k in range(1, parts)]), len(found)])
+            for a, b in zip(cuts, cuts[1:]):
+                block += 1
+                yield from block_rows(block, found[a:b], groups[a:b])
 
     return rows.mapInArrow(read, _COUNTED)
 
 
-def tokenize(chunk: Column) -> Column:
-    return F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(TERM), F.lit(0))
-
-
-def terms_of(chunks: DataFrame) -> DataFrame:
-    """``chunk, term`` for each distinct chunk once; a term that a chunk holds twice stands twice."""
-    return chunks.select("chunk").distinct().select("chunk", F.explode(tokenize(F.col("chunk"))).alias("term"))
-
-
-_MERGED = "lang string, source string, term string, n bigint, docs bigint"
-
-
-def _merge(lang: str, sources: list[str], starts: list[int], rows: pa.Table) -> pa.RecordBatch:
-    """Occurrences and distinct documents by source and term from the sorted rows of a share of one block."""
-    postings = rows.column("posting").combine_chunks()
-    term = rows.column("term").combine_chunks()
-    coded = term.dictionary_encode()
-    size = pc.binary_length(postings).to_numpy().astype(np.int64)
-    data = np.frombuffer(b"".join(postings.to_pylist()), np.uint8)
-    pairs = from_varints(data).reshape(-1, 2)
-    # numbers end where the high bit is clear; two make an entry
-    ends = np.concatenate([[0], np.cumsum(data < 128)])[np.cumsum(size)] // 2
-    entries = np.diff(ends, prepend=0)
-    first = ends - entries
-    total = np.cumsum(pairs[:, 0])
-    before = np.where(first > 0, total[np.maximum(first - 1, 0)], 0)
-    doc = total - np.repeat(before, entries)
-    n = pairs[:, 1] + 1
-    code = np.repeat(coded.indices.to_numpy().astype(np.int64), entries)
-    owner = np.searchsorted(np.array(starts), doc, side="right") - 1
-    wide = int(doc.max()) + 1
-    each, at = np.unique(code * wide + doc, return_index=True)  # a document of several chunks once
-    key = code * len(sources) + owner
-    groups, inverse = np.unique(key, return_inverse=True)
-    occurrences = np.zeros(len(groups), np.int64)
-    np.add.at(occurrences, inverse, n)
-    docs = np.bincount(inverse[at], minlength=len(groups))
-    k = len(groups)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang]).take(pa.array(np.zeros(k, np.int64))), pa.array(sources, pa.string()).take(pa.array(groups % len(sources))),
-         coded.dictionary.take(pa.array(groups // len(sources))), pa.array(occurrences), pa.array(docs)],
-        names=[f.split()[0] for f in _MERGED.split(", ")],
-    )
-
-
-def _merge_blocks(batches):
-    """A share of a block begins with the row that says whose documents the block has."""
-    about, held = None, []
-
-    def done():
-        if held:
-            yield _merge(*about, pa.Table.from_batches(held))
-            held.clear()
+_ANSWERS = "block bigint, bucket bigint, first bigint, terms string, sizes binary"
 
+
+def tokenize(chunk: bytes) -> list[bytes]:
+    return TERM.findall(chunk.lower())
+
+
+def _runs(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket, some at a time."""
+    bucket, size = batch.column("bucket").to_numpy(), pc.binary_length(batch.column("chunks")).to_numpy()
+    at, held = 0, 0
+    for k in range(batch.num_rows):
+        if k > at and (bucket[k] != bucket[at] or held > most):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += int(size[k])
+    if batch.num_rows:
+        yield batch.slice(at)
+
+
+def _answer(batches):
+    """The terms of the chunks of each row; rows come by bucket, a chunk that was seen in its bucket is not tokenized again."""
+    now, known = None, {}
+    for batch in batches:
+        for rows in _runs(batch):
+            if (bucket := rows.column("bucket")[0].as_py()) != now:
+                now, known = bucket, {}
+            lists = pc.split_pattern(rows.column("chunks"), " ")
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+            for chunk in distinct:
+                if chunk not in known:
+                    known[chunk] = tokenize(chunk)
+            found = [known[chunk] for chunk in distinct]
+            has = np.array([len(f) for f in found], np.int64)
+            terms = pa.array([t for f in found for t in f], pa.binary()).view(pa.string())
+            ids = coded.indices.to_numpy()
+            sizes = has[ids]
+            terms = terms.take(pa.array(np.repeat(_starts(has)[ids], sizes) + _within(sizes)))
+            chunks = np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]
+            parts = np.split(sizes, chunks)
+            yield _batch(
+                _ANSWERS,
+                [*(rows.column(c) for c in ("block", "bucket", "first")), _joined(terms, [int(p.sum()) for p in parts]), [to_bytes(p) for p in parts]],
+            )
+
+
+_SUMS = "bucket bigint, langs array<string>, sources array<string>, terms string, owner binary, term binary, n binary, docs binary"
+
+
+def _block_sums(about: dict, places: list[np.ndarray], terms: list[pa.Array], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents by group and term of one block, dealt by term."""
+    names = sorted(set(zip(about["langs"], about["sources"])))
+    number = {g: k for k, g in enumerate(names)}
+    owner = np.array([number[g] for g in zip(about["langs"], about["sources"])], np.int64)
+    place = np.concatenate(places)
+    coded = pa.concat_arrays(terms).dictionary_encode()
+    ids, n, pairs = from_bytes(about["ids"]), from_bytes(about["counts"], "<u8"), from_bytes(about["sizes"])
+    doc = np.repeat(np.arange(len(owner)), pairs)
+    # the terms of each place of the block's list, one after the other
+    of_place, has = coded.indices.to_numpy()[_order(place)].astype(np.int64), np.bincount(place, minlength=int(ids.max()) + 1)
+    many = has[ids]
+    term, doc, n = of_place[np.repeat(_starts(has)[ids], many) + _within(many)], np.repeat(doc, many), np.repeat(n, many)
+    if not len(term):
+        return
+    wide = len(coded.dictionary)
+    key = doc * wide + term
+    order = _order(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # several chunks of a document with one term: one document
+    n, key = np.add.reduceat(n, first), key[first]
+    key = owner[key // wide] * wide + key % wide
+    order = _order(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    groups, term, n, docs = key[first] // wide, key[first] % wide, np.add.reduceat(n, first), np.diff(first, append=len(key))
+    langs, sources = [g[0] for g in names], [g[1] for g in names]
+    for bucket, at in _dealt(_bucket_of(coded.dictionary, buckets)[term]):
+        some, place = np.unique(term[at], return_inverse=True)
+        joined = _joined(coded.dictionary.take(pa.array(some)), [len(some)])
+        numbers = [[to_bytes(groups[at])], [to_bytes(place)], [to_bytes(n[at], "<u8")], [to_bytes(docs[at])]]
+        yield _batch(_SUMS, [[bucket], [langs], [sources], joined, *numbers])
+
+
+def _join_back(buckets: int):
+    def read(batches):
+        about, places, terms = None, [], []
+
+        def done():
+            if places:
+                yield from _block_sums(about, places, terms, buckets)
+            places.clear()
+            terms.clear()
+
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                row = batch.slice(k, 1)
+                sizes = from_bytes(row.column("sizes")[0].as_py())
+                if bucket < 0:
+                    yield from done()
+                    about = {c: row.column(c)[0].as_py() for c in ("langs", "sources", "sizes", "ids", "counts")}
+                elif sizes.sum():
+                    places.append(np.repeat(row.column("first")[0].as_py() + np.arange(len(sizes)), sizes))
+                    terms.append(pc.split_pattern(row.column("terms"), " ").flatten())
+        yield from done()
+
+    return read
+
+
+_KEPT = "lang string, source string, term string, n bigint, lang_n bigint"
+
+
+def _kept(batches):
+    """The sums of each bucket; of them, the terms that enough documents of a language have."""
+    keys = ["lang", "source", "term"]
+
+    def added(tables):
+        every = pa.concat_tables(tables).combine_chunks()
+        return every.group_by(keys).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns([*keys, "n", "docs"])
+
+    def done(tables):
+        if not tables:
+            return
+        every = added(tables)
+        whole = every.group_by(["lang", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+        whole = whole.filter(pc.greater_equal(whole.column("docs_sum"), LEAST_DOCS)).select(["lang", "term", "n_sum"])
+        found = every.drop_columns(["docs"]).join(whole, ["lang", "term"], join_type="inner").rename_columns([*keys, "n", "lang_n"])
+        yield from found.combine_chunks().to_batches()
+
+    now, held, size = None, [], 0
     for batch in batches:
-        heads = np.flatnonzero(batch.column("sources").is_valid().to_numpy(zero_copy_only=False)).tolist()
-        for a, b in zip([0, *heads], [*heads, batch.num_rows]):
-            if a in heads:
-                yield from done()
-                head = batch.slice(a, 1).to_pylist()[0]
-                about, a = (head["lang"], head["sources"], head["starts"]), a + 1
-            if b > a:
-                held.append(batch.slice(a, b - a).select(["term", "posting"]))
-    yield from done()
+        for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now:
+                yield from done(held)
+                now, held, size = bucket, [], 0
+            row = batch.slice(k, 1)
+            owner, term, docs = (from_bytes(row.column(c)[0].as_py()) for c in ("owner", "term", "docs"))
+            table = {c: row.column(f"{c}s")[0].values.take(pa.array(owner)) for c in ("lang", "source")}
+            table["term"] = pc.split_pattern(row.column("terms"), " ").flatten().take(pa.array(term))
+            held.append(pa.table(table | {"n": from_bytes(row.column("n")[0].as_py(), "<u8"), "docs": docs}))
+            size += len(docs)
+            if size > HELD:
+                held = [added(held)]
+                size = held[0].num_rows // 2  # so that large buckets are not added up for each row
+    yield from done(held)
 
 
 def count_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``lang, source, term, n, docs`` of every term that occurs, and the ``lang, source`` of every group."""
-    counted = written(count_chunks(docs), "chunks", compression="zstd")
-    chunks, blocks = counted.where("chunk is not null").select("block", "chunk", "posting"), counted.where("chunk is null")
-    terms = written(terms_of(chunks), "terms").toDF("c", "term")
-    joined = chunks.join(terms, F.col("chunk") == F.col("c")).select(
-        "block", F.pmod(F.xxhash64("term"), F.lit(SHARES)).alias("share"), "term", "posting"
-    )
-    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<bigint>")).alias("share")
-    heads = blocks.select("block", shares, F.lit(None).cast("string").alias("term"), F.lit(None).cast("binary").alias("posting"), "lang", "sources", "starts")
-    both = joined.unionByName(heads, allowMissingColumns=True).repartition("block", "share")
-    # null terms first: the head of each share of a block
-    both = both.sortWithinPartitions("block", "share", "term")
-    merged = both.mapInArrow(_merge_blocks, _MERGED)
-    found = merged.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    groups = blocks.select("lang", F.explode("sources").alias("source")).distinct()
-    return written(found, "counts"), written(groups, "groups")
+    """``lang, source, term, n, lang_n`` of the kept terms that occur in a group, and the ``lang, source`` of every group."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = written(count_chunks(docs, buckets), "chunks", compression="zstd")
+    about = counted.where("bucket < 0")
+    asked = counted.where("bucket >= 0").select("block", "bucket", "first", "chunks")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _ANSWERS)
+    both = answers.unionByName(about.select("block", "bucket", "langs", "sources", "sizes", "ids", "counts"), allowMissingColumns=True)
+    sums = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_join_back(buckets), _SUMS)
+    kept = sums.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_kept, _KEPT)
+    groups = about.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select("g.langs", "g.sources").distinct().toDF("lang", "source")
+    return written(kept, "kept"), written(groups, "groups")
 
 
 def _p(n: str, total: str, v: str) -> Column:
-    """1 + floor(SCALE * (n + 2) / (total + 2 v)), exact beyond 64 bits; null where the language keeps no term."""
-    wide = lambda c: c.cast("decimal(20,0)")
-    top = F.lit(SCALE).cast("decimal(10,0)") * wide(F.col(n) + SMOOTH)
-    return F.call_function("div", top, wide(F.nullif(F.col(total) + SMOOTH * F.col(v), F.lit(0)))) + 1
+    """1 + floor(SCALE * (n + 2) / (total + 2 v)), exact beyond 64 bits too; null where the language keeps no term."""
+    below = F.nullif(F.col(total) + SMOOTH * F.col(v), F.lit(0))
+    small = F.call_function("div", F.lit(SCALE).cast("bigint") * (F.col(n) + SMOOTH), below)
+    large = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (F.col(n) + SMOOTH).cast("decimal(20,0)"), below.cast("decimal(20,0)"))
+    return F.when(F.col(n) < LARGE, small).otherwise(large) + 1
 
 
 def _f(p: str, q: str) -> Column:
@@ -235,19 +372,16 @@ def _f(p: str, q: str) -> Column:
     return F.call_function("div", gap * gap, F.col(p) + F.col(q))
 
 
-def kept_counts(counts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``lang, source, term, n, lang_n`` of kept terms; ``lang, v, lang_total``; ``lang, source, total`` of every group."""
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= LEAST_DOCS)
-    kept = written(kept.select(F.col("lang").alias("l"), F.col("term").alias("t"), "lang_n"), "kept")
-    rows = counts.join(kept, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t")))
-    rows = written(rows.select("lang", "source", "term", "n", "lang_n"), "kept_counts")
-    langs = groups.select("lang").distinct().join(
-        kept.groupBy("l").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")), F.col("lang") == F.col("l"), "left"
-    )
-    langs = langs.select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
-    sums = rows.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.sum("n").alias("total"))
-    totals = groups.join(sums, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")), "left")
-    return rows, written(langs, "langs"), written(totals.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total")), "totals")
+def described(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row for each group: ``lang, source, total, v, lang_total, place`` (among the sources of its language) and ``p0`` of an absent term."""
+    kept = rows.select(F.col("lang").alias("l"), "term", "lang_n").distinct().groupBy("l")
+    langs = kept.agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    sums = rows.groupBy(F.col("lang").alias("l2"), F.col("source").alias("s")).agg(F.sum("n").alias("total"))
+    found = groups.join(langs, F.col("lang") == F.col("l"), "left")
+    found = found.join(sums, (F.col("lang") == F.col("l2")) & (F.col("source") == F.col("s")), "left")
+    found = found.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v", "lang_total")], F.lit(0).alias("nothing"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # one narrow row for each source
+    return written(found.select("*", place.cast("bigint").alias("place"), _p("nothing", "total", "v").alias("p0")).drop("nothing"), "described")
 
 
 def _ranked(rows: DataFrame, most: int | None = None) -> DataFrame:
@@ -256,9 +390,8 @@ def _ranked(rows: DataFrame, most: int | None = None) -> DataFrame:
     return found if most is None else found.where(F.col("rank") <= most)
 
 
-def top_terms(rows: DataFrame, langs: DataFrame, totals: DataFrame) -> DataFrame:
+def top_terms(rows: DataFrame, about: DataFrame) -> DataFrame:
     """``lang, source, item, value, rank``: the terms that a group has more of than its language, by divergence."""
-    about = totals.join(langs, "lang")
     found = rows.join(about, ["lang", "source"]).withColumns({"p": _p("n", "total", "v"), "q": _p("lang_n", "lang_total", "v")})
     return _ranked(found.where("p > q").select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value")), TOP)
 
@@ -286,12 +419,8 @@ def _pair_sums(key, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * k, pa.string()), "s": s, "r": r, "total": total, "terms": np.full(k, len(term.dictionary), np.int64)})
 
 
-def pair_values(rows: DataFrame, langs: DataFrame, totals: DataFrame) -> DataFrame:
+def pair_values(rows: DataFrame, about: DataFrame) -> DataFrame:
     """``lang, source, item, value, rank``: every other source of the language, by divergence."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # one narrow row for each source
-    about = totals.join(langs, "lang").withColumn("nothing", F.lit(0))
-    about = about.select("lang", "source", "total", "v", place.cast("bigint").alias("place"), _p("nothing", "total", "v").alias("p0"))
-    about = written(about, "sources")
     found = rows.join(about, ["lang", "source"]).select("lang", "place", "term", _p("n", "total", "v").alias("p"))
     buckets = max(1, rows.count() // BUCKET_ROWS)
     tiles = about.groupBy(F.col("lang").alias("l")).agg((F.floor(F.max("place") / TILE) + 1).alias("tiles"))
@@ -318,7 +447,7 @@ def pair_values(rows: DataFrame, langs: DataFrame, totals: DataFrame) -> DataFra
 
 def audit(docs: DataFrame) -> DataFrame:
     """``lang, source, part, item, value, rank``: parts ``pair`` (all other sources) and ``term`` (the top ``TOP``) of each group."""
-    about = kept_counts(*count_terms(docs))
-    columns = ["lang", "source", F.lit("pair").alias("part"), "item", "value", "rank"]
-    pairs = pair_values(*about).select(*columns)
-    return pairs.unionByName(top_terms(*about).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
+    rows, groups = count_terms(docs)
+    about = described(rows, groups)
+    shown = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
+    return shown(pair_values(rows, about), "pair").unionByName(shown(top_terms(rows, about), "term"))

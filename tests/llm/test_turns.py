@@ -192,7 +192,16 @@ def test_audit_of_few_rows(spark):
     assert _audit(spark, rows) == brute_audit(rows) == [("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
 
 
-def test_varints():
-    values = np.array([0, 1, 127, 128, 300, 1 << 40, 5], np.int64)
-    data, size = divergence.varints(values)
-    assert divergence.from_varints(data).tolist() == values.tolist() and size.tolist() == [1, 1, 1, 2, 2, 6, 1]
+def test_counts_of_long_and_blank_texts(monkeypatch):
+    monkeypatch.setattr(divergence, "SPLIT_BYTES", 50)
+    found = [b"", b" \n", b"a b a", ("é x\u2003y " * 40_000).encode(), b"a\x0bb\x1c c"]
+    chunks, doc, chunk, n = divergence.chunk_counts(found)
+    got = defaultdict(dict)
+    for d, c, k in zip(doc.tolist(), chunks.take(chunk).to_pylist(), n.tolist()):
+        got[d][c.encode()] = k
+    assert got == {d: dict(Counter(t.split())) for d, t in enumerate(found) if t.split()}
+
+
+def test_shares_beyond_64_bits(spark):
+    row = spark.sql("select 9000000000000L as n, 20000000000001L as total, 10L as v").select(divergence._p("n", "total", "v")).first()
+    assert row[0] == 1 + 10**9 * (9000000000000 + 2) // (20000000000001 + 20)
