@@ -7,7 +7,7 @@ Training. Of every text that may be learned from its runs of symbols of length `
 shuffle by run adds the rest. From these counts joins and groupings make the interpolated Kneser-Ney probabilities of
 all orders: the highest order uses counts, lower orders use the number of distinct characters that precede a run.
 
-Model. For each order a hash table of all runs counted and, beside it, the log-probability for every language; where a
+Model. For each order a sorted array of the codes of all runs counted and, beside it, the log-probability for every language; where a
 language has not seen a run, the table holds what its lower orders give, so one look-up serves all languages. A run that
 no language has seen is looked up one order below, times the weight of its context. The full run is stored, so no run is
 taken for another. The tables are cut by a hash of the run into shards of at most ``SHARD`` numbers, as many as the runs
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cataloom.llm.common import BASE, U64, aside, mix, written
+from cataloom.llm.common import U64, aside, mix, written
 
 ORDER, CHAR_BITS, MAX_LANGUAGES = 5, 12, 256
 SHARD, HELD = 1 << 23, 1 << 25  # numbers of four bytes
@@ -94,48 +94,32 @@ def runs(text: str | None, fold: np.ndarray) -> Iterator[tuple[np.ndarray, int,
         yield key, n, letters
 
 
-def slots(key: np.ndarray, bits: int) -> np.ndarray:
-    return ((key.astype(U64) * BASE) >> U64(64 - bits)).astype(np.int64)
-
-
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (mix(key.astype(U64)) % U64(shards)).astype(np.int64)
 
 
-class Shard:
-    """Keys and their log-probabilities (rows x languages) with a hash table of open addressing over all of them."""
-
-    def __init__(self, keys: np.ndarray, logs: np.ndarray):
-        self.keys, self.logs = keys, logs
-        self.bits = max(1, (2 * len(keys)).bit_length())
-        self.place = np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(keys), dtype=np.int32), slots(keys, self.bits)
-        while len(left):
-            free = self.place[at] < 0
-            self.place[at[free]] = left[free]
-            lost = self.place[at] != left
-            left, at = left[lost], self._next(at[lost])
-
-    def _next(self, at: np.ndarray) -> np.ndarray:
-        return (at + 1) & ((1 << self.bits) - 1)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where there is none."""
-        at = slots(key, self.bits)
-        row = self.place[at]
-        left = np.flatnonzero((row >= 0) & (self.keys[row] != key))
-        while len(left):
-            at[left] = self._next(at[left])
-            row[left] = self.place[at[left]]
-            left = left[(row[left] >= 0) & (self.keys[row[left]] != key[left])]
-        return row
-
-    def add(self, total: np.ndarray, owner: np.ndarray, row: np.ndarray) -> None:
-        """Add the logs of rows to the totals of their owners (ascending)."""
-        for part in range(0, len(row), 8192):
-            own = owner[part : part + 8192]
-            first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
-            total[own[first]] += np.add.reduceat(self.logs[row[part : part + 8192]], first, axis=0, dtype=np.float64)
+#: Sorted keys of a shard, and their log-probabilities (rows x languages). Plain arrays, so that executors need no code to unpickle them.
+Shard = tuple[np.ndarray, np.ndarray]
+
+
+def find(shard: Shard, key: np.ndarray) -> np.ndarray:
+    """Row of each key in a shard, -1 where there is none."""
+    keys = shard[0]
+    if not len(keys):
+        return np.full(len(key), -1, np.int64)
+    order = np.argsort(key)  # neighbours in the table are looked up one after the other
+    row = np.empty(len(key), np.int64)
+    row[order] = np.searchsorted(keys, key[order])
+    row[row == len(keys)] = 0
+    return np.where(keys[row] == key, row, -1)
+
+
+def add_logs(shard: Shard, total: np.ndarray, owner: np.ndarray, row: np.ndarray) -> None:
+    """Add the logs of rows to the totals of their owners (ascending)."""
+    for part in range(0, len(row), 8192):
+        own = owner[part : part + 8192]
+        first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
+        total[own[first]] += np.add.reduceat(shard[1][row[part : part + 8192]], first, axis=0, dtype=np.float64)
 
 
 @dataclass
@@ -166,10 +150,10 @@ class Model:
                 continue
             lacking = np.ones(len(key), bool)
             for shard, mine in self._each(self.tables[order], key):
-                row = shard.find(key[mine])
+                row = find(shard, key[mine])
                 hit = row >= 0
                 lacking[mine[hit]] = False
-                shard.add(total, owner[mine[hit]], row[hit])
+                add_logs(shard, total, owner[mine[hit]], row[hit])
             key, owner = key[lacking], owner[lacking]
             if not len(key):
                 return
@@ -177,8 +161,8 @@ class Model:
                 # the context is the run without its last symbol; a language that has not seen it adds nothing
                 context = key >> CHAR_BITS
                 for shard, mine in self._each(self.contexts[order], context):
-                    row = shard.find(context[mine])
-                    shard.add(total, owner[mine[row >= 0]], row[row >= 0])
+                    row = find(shard, context[mine])
+                    add_logs(shard, total, owner[mine[row >= 0]], row[row >= 0])
                 key = key & ((1 << CHAR_BITS * (order - 1)) - 1)
         total += np.bincount(owner, minlength=len(total))[:, None] * self.floor
 
@@ -273,7 +257,7 @@ def _shards(found: DataFrame, languages: list[str], absent: float) -> tuple[list
     place = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     pairs = F.collect_list(F.struct(place[F.col("lang")].alias("i"), F.log("p").cast("float").alias("log")))
     rows = written(found.groupBy("key").agg(pairs.alias("logs")), "rows")
-    numbers = rows.count() * (len(languages) + 6)  # a key is two, its place in the hash table up to four
+    numbers = rows.count() * (len(languages) + 2)  # a key is two
     shards = -(-numbers // SHARD)
 
     def cut(batches):
@@ -294,7 +278,7 @@ def _shards(found: DataFrame, languages: list[str], absent: float) -> tuple[list
         flat = lists.flatten()
         logs[row, flat.field("i").to_numpy(zero_copy_only=False)] = flat.field("log").to_numpy(zero_copy_only=False)
         order = np.argsort(keys, kind="stable")
-        out.append(found.sparkSession.sparkContext.broadcast(Shard(keys[order], logs[order])))
+        out.append(found.sparkSession.sparkContext.broadcast((keys[order], logs[order])))
     return out, numbers
 
 

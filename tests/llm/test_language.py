@@ -27,7 +27,7 @@ def test_every_run_is_in_the_shards(make, monkeypatch):
     assert whole.held and not cut.held
     assert len(whole.tables[5]) == 1 < len(cut.tables[5])
     for model in (whole, cut):
-        assert (np.sort(np.concatenate([s.value.keys for s in model.tables[5]])) == keys).all()
+        assert (np.sort(np.concatenate([s.value[0] for s in model.tables[5]])) == keys).all()
         for order in range(1, 5):
             shorter = np.unique(keys & ((1 << language.CHAR_BITS * order) - 1))
             assert (np.sort(np.concatenate([s.value.keys for s in model.tables[order]])) == shorter).all()
@@ -54,3 +54,40 @@ def test_labelled_noise_does_not_switch_rejection_off(make):
     found = language._scored(docs, model, language.limits(make(calibrate + odd), model), ["doc_id"]).collect()
     assert {r.doc_id: r.rejected for r in found} == {0: True, 1: False, 2: False}
     assert np.isfinite(language.limits(make(calibrate), model)["sr"])
+
+
+SHIPS = """
+import sys, tempfile
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config(
+    "spark.checkpoint.dir", tempfile.mkdtemp()).getOrCreate()
+from cataloom.llm import language
+docs = spark.createDataFrame([(i, t, l) for i in range(60) for t, l in (("the house and the sea " * 3, "en"), ("das haus und der see " * 3, "de"))], "doc_id bigint, text string, lang string")
+found = language.by_folds(docs.withColumn("held_out", language.fold_of("doc_id") == 2), ["lang"]).collect()
+assert found and all(r.lang == r.lang_pred for r in found), found[:3]
+spark.stop()
+"""
+
+
+def test_runs_where_executors_lack_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    import cataloom
+
+    root = os.path.dirname(os.path.dirname(cataloom.__file__))
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", SHIPS.format(root=root)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_sorted_arrays_find_every_key():
+    import numpy as np
+
+    keys = np.sort(np.unique(np.random.default_rng(1).integers(-(1 << 60), 1 << 60, 1000)))
+    asked = np.concatenate([keys[::-3], keys + 1, [keys[-1] + 5, keys[0] - 5]])
+    row = language.find((keys, np.zeros((len(keys), 1), np.float32)), asked)
+    assert (row >= 0).tolist() == np.isin(asked, keys).tolist() and (keys[row[row >= 0]] == asked[row >= 0]).all()
+    assert language.find((keys[:0], np.zeros((0, 1), np.float32)), asked).max() == -1
