@@ -89,15 +89,16 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
     """Weights by place; the last two numbers are the slope and the constant of the log-odds."""
     order = F.xxhash64(F.lit("quality"), "doc_id")
-    marked = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    # labels that contradict each other: the majority, 0 where there is none
+    marked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("int")) > 0.5).cast("int").alias("y"))
     # MAX_ROWS ids at most, so that unchosen texts need not move
     chosen = F.broadcast(marked.orderBy(order, "doc_id").limit(MAX_ROWS))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(
-        "doc_id", "text", "y", order.alias("o"), F.pmod(order, F.lit(SHARDS)).alias("shard")
+        "doc_id", "text", "y", order.alias("o"), F.xxhash64("text").alias("th"), F.pmod(order, F.lit(SHARDS)).alias("shard")
     )
 
     def shard(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["o", "doc_id"])
+        group = group.sort_values(["o", "doc_id", "th"])
         held = [(*features(None if t is None else t.encode()), y) for t, y in zip(group["text"], group["y"])]
         w = _ftrl(held)
         at = np.flatnonzero(w)
