@@ -21,7 +21,8 @@ of some block of texts, so each task reports the shingles common in its blocks,
 ``2 * mean set size / COMMON`` numbers at most. The order only steers the work; links do not depend on it.
 
 Shingles and sets are known by 64-bit hashes. Null, empty and wordless texts have size 0 and are their own component. A null doc_id
-has no component and links with nothing. Equal rows are one node; rows that share a doc_id are one document of several texts.
+has no component and links with nothing. Equal rows are one node; rows that share a doc_id are one document of several texts, and so in
+one component.
 Only ``doc_id`` and ``text`` are read.
 """
 
@@ -32,9 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import keyed, mix, shingles, texts, U64, words, written
+from cataloom.llm.common import aside, keyed, mix, on_key, shingles, texts, U64, words, written
 
 NEED, OF, COMMON, LONG = 3, 7, 0.002, 24  # overlap >= 3/7 of both sizes together is a similarity of 0.75
+ROWS, PAIRS = 2048, 512  # texts and pairs whose sets a task holds at once
+
+
+def _slices(batch: pa.RecordBatch, rows: int):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def text_set(text: bytes | None) -> np.ndarray:
@@ -66,7 +73,7 @@ def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     names = ["doc_id", "th", "n", "node", "shingle"]
 
     def read(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, ROWS)):
             found = [text_set(t) for t in texts(batch)]
             nodes = [_node(s) for s in found]
             n = [len(s) for s in found]
@@ -93,7 +100,7 @@ def _entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def read(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, ROWS)):
             found = {_node(s): s for s in map(text_set, texts(batch)) if len(s)}
             firsts = [prefix(s, shared.value) for s in found.values()]
             size = [len(p) for p in firsts]
@@ -158,7 +165,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, PAIRS)):
             known: dict[int, np.ndarray] = {}
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for name, z in ((a, batch.column("za").to_pylist()), (b, batch.column("zb").to_pylist())):
@@ -189,8 +196,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+def _classes(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows ``doc_id, th, n, node`` and ``node, label``: the class of each set; ``by_id``: texts that share an id are one document."""
     rows, common = sets(docs)
     full = rows.where("doc_id is not null and n > 0")
     nodes = written(full.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("node", "k.doc_id", "k.th"), "nodes")
@@ -214,20 +221,48 @@ def link_components(docs: DataFrame) -> DataFrame:
     beyond = F.ceil(F.greatest("n", "n2") * 3 / 4) - 1
     enough = shared.where(OF * (F.col("c") + beyond) >= NEED * wanted)
     links = _verified(enough.select(F.col("node").alias("a"), F.col("node2").alias("b")), docs, nodes)
-    # links between equal doc_ids of different texts
-    same = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    label = components(star_links.union(links).union(same))
+    links = star_links.union(links)
+    if by_id:
+        several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(F.col("doc_id").alias("d"), "a")
+        own = full.select("doc_id", "node").distinct().join(written(several, "several"), F.col("doc_id") == F.col("d"))
+        links = links.union(own.where("node <> a").select("a", F.col("node").alias("b")))
+    label = components(links)
     named = nodes.join(label.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
-    named = written(named.select("node", "doc_id", F.coalesce("label", "node").alias("label")), "named")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component")).withColumnRenamed("label", "l")
-    of_node = named.join(least, F.col("label") == F.col("l")).select(F.col("node").alias("k"), "component")
-    found = rows.join(of_node, (F.col("node") == F.col("k")) & (F.col("n") > 0), "left")
+    return rows, written(named.select("node", F.coalesce("label", "node").alias("label")), "named")
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+    rows, named = _classes(docs, by_id=True)
+    of_node = named.toDF("k", "label")
+    full = rows.where("doc_id is not null and n > 0").select("doc_id", "node").distinct()
+    of_id = written(full.join(of_node, F.col("node") == F.col("k")).select("doc_id", "label").distinct(), "labels")
+    least = written(of_id.groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("component")), "least")
+    of_id = written(of_id.join(least, F.col("label") == F.col("l")).select(F.col("doc_id").alias("d"), "component"), "components")
+    found = rows.join(of_id, F.col("doc_id") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the smallest doc_id (rows without an id stay)."""
-    found = written(link_components(docs.select("doc_id", "text")), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "leftanti")
+    """The rows of ``docs`` that stand for their class, each once: the smallest (doc_id, text hash).
+
+    Every text counts by itself here, so one that shares its id with others goes only with texts like it. Rows without an id
+    stay, and those without words; rows equal in id and text are one document, and one of them stays.
+    """
+    own, _, back = aside(docs, ("doc_id", "text"))
+    own = own.withColumn("th", F.xxhash64("text"))
+    rows, named = _classes(docs.select("doc_id", "text"), by_id=False)
+    keys = rows.where("doc_id is not null and n > 0").select("doc_id", "th", "node").distinct()
+    labels = keys.join(named.toDF("k", "label"), F.col("node") == F.col("k"))
+    stays = labels.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("s")).select("s.doc_id", "s.th", F.lit(True).alias("stays"))
+    marks = on_key(written(labels.select("doc_id", "th"), "members"), written(stays, "stays"), "left").where("stays is null")
+    left = on_key(own, written(marks.select("doc_id", "th"), "gone"), "leftanti")
+    # only rows that stand twice move once more
+    twice = written(rows.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1").drop("count"), "twice")
+    if not twice.isEmpty():
+        order = F.xxhash64(*[c for c in left.columns if c not in ("doc_id", "th")])
+        nth = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(order))
+        once = on_key(left, twice, "leftsemi").withColumn("nth", nth).where("nth = 1").drop("nth")
+        left = on_key(left, twice, "leftanti").unionByName(once)
+    return left.select(*back)
