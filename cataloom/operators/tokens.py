@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import words
@@ -26,27 +26,25 @@ def lexicon_lookup(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Add ``lemma``, ``tag`` and ``is_stop``.
 
     The exact token decides, then its lower-case form; a word in neither is a
-    noun that stands for itself in lower case. Both are plain equi joins, so
-    Spark broadcasts a lexicon below its threshold and splits the skewed
-    partitions of a shuffled one.
+    noun that stands for itself in lower case. Entries that differ in case
+    only are gathered first, so one equi join finds both; Spark broadcasts a lexicon below its threshold and splits the
+    skewed partitions of a shuffled one.
     """
-    def entry(prefix: str) -> DataFrame:
-        return lexicon.select(
-            F.col("token").alias(f"{prefix}_token"),
-            F.struct("lemma", "tag", "is_stop").alias(f"{prefix}_entry"),
-        )
+    entry = F.struct("token", "lemma", "tag", "is_stop")
+    index = lexicon.groupBy(F.lower("token").alias("lower_token")).agg(F.collect_list(entry).alias("entries"))
+    joined = rows.join(index, F.lower("text") == F.col("lower_token"), "left")
 
-    joined = rows.join(entry("exact"), F.col("text") == F.col("exact_token"), "left").join(
-        entry("lower"), F.lower("text") == F.col("lower_token"), "left"
-    )
-    found = F.coalesce("exact_entry", "lower_entry")
-    return joined.withColumns(
+    def form(text: Column) -> Column:
+        return F.get(F.filter("entries", lambda e: e["token"] == text), F.lit(0))
+
+    found = F.coalesce(form(F.col("text")), form(F.lower("text")))
+    return joined.withColumn("entry", found).withColumns(
         {
-            "lemma": F.coalesce(found.getField("lemma"), F.lower("text")),
-            "tag": F.coalesce(found.getField("tag"), F.lit(UNKNOWN_TAG)),
-            "is_stop": F.coalesce(found.getField("is_stop"), F.lit(False)),
+            "lemma": F.coalesce(F.col("entry.lemma"), F.lower("text")),
+            "tag": F.coalesce(F.col("entry.tag"), F.lit(UNKNOWN_TAG)),
+            "is_stop": F.coalesce(F.col("entry.is_stop"), F.lit(False)),
         }
-    ).drop("exact_token", "exact_entry", "lower_token", "lower_entry")
+    ).drop("lower_token", "entries", "entry")
 
 
 def token_filter(rows: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.functions.names import is_plain_text
+from cataloom.functions.names import TEXT_BEARING, is_plain_text
 from cataloom.functions.text import is_blank, word_preview
 from cataloom.operators.classify import classify
 from cataloom.operators.keywords import keyword_eligible, top_keywords
@@ -77,7 +77,9 @@ def categorise(
             {"ext_category": F.col("category"), "score": F.lit(None).cast("double")}
         )
     if keywords is None:
-        keywords = top_keywords(texts, lexicon)
+        # texts of other kinds never count, so they are not ranked either
+        counting = files.where(F.col("category").isin(TEXT_BEARING)).select("path")
+        keywords = top_keywords(texts.join(counting, "path", "left_semi"), lexicon)
     targets = sentence_targets(files.sparkSession, query, lexicon)
     if model is not None:
         keywords = materialise(keywords)

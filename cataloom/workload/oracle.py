@@ -284,6 +284,15 @@ _SELECTS = {
       from {_keyed('(select distinct keyword from kws)', 'keyword')} join scored using (vec_id) where score > 0.45""",
     "best_score": f"select path, round(score, 9) as score from ({_matches('kws')})",
     "best_target": f"select path, idx, label from ({_matches('kws')})",
+    "match_sentences": f"""
+      select query_id, idx, label, count(*) as n_files, round(max(score), 9) as best, min(path) as first_path
+      from (select query_id, path, max(score) as score, arg_max(label, (score, -idx)) as label, arg_max(idx, (score, -idx)) as idx
+            from (select distinct path, vec_id from {_keyed('kws', 'keyword')})
+            join (select a.vec_id, b.vec_id as target, list_dot_product(a.vec, b.vec) / ({_norm('a.vec')} * {_norm('b.vec')}) as score
+                  from vecs a cross join vecs b where score > 0.45) using (vec_id)
+            join (select query_id, idx, label, vec_id as target from {_keyed('found', 'label')}) using (target)
+            group by query_id, path)
+      group by all""",
     "match_categories": f"""
       select path, ext_category, category, round(score, 9) as score from ({_categorised('files', 'cat_kws')})""",
     "organise_with_query": f"""

@@ -260,15 +260,23 @@ def best_target(spark, sf_dir):
 
 
 def _matched_catalogue(spark, sf_dir):
-    files = classify(fx.catalogue(spark, sf_dir))
     # texts of all kinds of files: the match must keep to the kinds whose text counts
     texts = fx.every_text(spark, sf_dir).where("preview != ''")
-    return match.match_categories(
-        files,
-        kw.top_keywords(texts, fx.lexicon(spark)),
-        _targets(spark),
-        fx.term_vectors(spark, sf_dir),
+    return categorise(
+        classify(fx.catalogue(spark, sf_dir)), texts, fx.SENTENCE, fx.lexicon(spark), fx.term_vectors(spark, sf_dir),
         key=fx.vector_key(spark, sf_dir),
+    )
+
+
+@query
+def match_sentences(spark, sf_dir):
+    """The library against every turn of every conversation as a sentence: the files that go to each category."""
+    found = match.match_sentences(
+        _keywords(spark, sf_dir), tokens.query_targets(fx.sentences(spark, sf_dir), fx.lexicon(spark)),
+        fx.term_vectors(spark, sf_dir), key=fx.vector_key(spark, sf_dir),
+    )
+    return found.groupBy("query_id", "idx", "label").agg(
+        F.count("*").alias("n_files"), F.round(F.max("score"), 9).alias("best"), F.min("path").alias("first_path")
     )
 
 
