@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.functions.names import TEXT_BEARING, is_plain_text
 from cataloom.functions.text import is_blank, word_preview
 from cataloom.operators.classify import classify
 from cataloom.operators.keywords import keyword_eligible, top_keywords
-from cataloom.operators.layout import SCAN_ERROR, copy_files, default_destination, plan_layout
+from cataloom.operators.layout import PLANNED, SCAN_ERROR, copy_files, default_destination, plan_layout
 from cataloom.operators.match import THRESHOLD, Key, itself, match_categories, vectors_from_model, without_vector
-from cataloom.operators.summary import category_breakdown, run_summary
+from cataloom.operators.summary import category_breakdown, run_summary, with_progress
 from cataloom.operators.tokens import query_targets
-from cataloom.operators.verify import failed_verifications, retire_list, verify_copies
+from cataloom.operators.verify import OK, failed_verifications, retire_list, verify_copies
 from cataloom.session import configure, materialise
 from cataloom.sources.assembled import dispatch_text, text_bearing
 from cataloom.sources.content import extract_with, read_text_prefix
@@ -27,7 +27,8 @@ from cataloom.sources.listing import scan, top_level, with_scan_seq
 class Organised:
     """Results of a run; ``targets`` and ``unmatched`` exist with a query only, those from ``log`` on after copying only.
 
-    ``unmatched`` holds the targets without a vector, ``failed`` the copies that did not verify.
+    ``unmatched`` holds the targets without a vector, ``failed`` the copies that did not verify; ``progress`` the rows and failures of
+    each step of a folder run.
     """
 
     categorised: DataFrame
@@ -40,6 +41,7 @@ class Organised:
     verification: DataFrame | None = None
     retire: DataFrame | None = None
     summary: DataFrame | None = None
+    progress: dict[str, Observation] | None = None
 
 
 def choose_branch(queries: DataFrame) -> DataFrame:
@@ -158,20 +160,27 @@ def organise_folder(
         # checkpointed, because every extractor call is worth keeping
         cut = materialise(documents.select("path", word_preview(F.col("text")).alias("preview")))
         texts = keyword_eligible(dispatch_text(text_bearing(files), cut, images, media, decks))
-    categorised = materialise(categorise(files, texts, query, lexicon, term_vectors, **options))
+    progress = {}
+
+    def watched(df: DataFrame, step: str, failed: Column | None = None) -> DataFrame:
+        df, progress[step] = with_progress(df, step, failed)
+        return materialise(df)
+
+    categorised = watched(categorise(files, texts, query, lexicon, term_vectors, **options), "categorised")
     # names are taken by files, folders and links to folders directly in dest/<category>/; a broken link takes none
     there = scan(spark, dest, 2)
     if not there.errors.isEmpty():
         raise RuntimeError(f"cannot read {there.errors.first().path} at the destination")
     existing = there.entries.where("kind <> 'broken'")
-    plan = materialise(plan_layout(categorised, dest, existing, scan(spark, folder, depth).files(broken=False)))
+    plan = plan_layout(categorised, dest, existing, scan(spark, folder, depth).files(broken=False))
+    plan = watched(plan, "planned", F.col("status") != PLANNED)
     log = copy_files(plan)
     after = scan(spark, folder, depth)
     unread = found.errors.unionAll(after.errors).distinct()
     log = log.unionByName(unread.select("path", F.lit(SCAN_ERROR).alias("status"), "error"), allowMissingColumns=True)
     sources = after.files(broken=False)
     # read by the gate, the list and the counts
-    verification = materialise(verify_copies(log, sources, scan(spark, dest, 2).files()))
+    verification = watched(verify_copies(log, sources, scan(spark, dest, 2).files()), "verified", F.col("status") != OK)
     retire = retire_list(log, verification, sources)
     targets, unmatched = _named(spark, query, lexicon, term_vectors, options)
     return Organised(
@@ -185,4 +194,5 @@ def organise_folder(
         verification,
         retire,
         run_summary(log, verification, retire),
+        progress,
     )

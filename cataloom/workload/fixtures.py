@@ -12,7 +12,7 @@ from cataloom.functions.names import is_plain_text, join_path
 from cataloom.functions.text import text_prefix
 from cataloom.operators.classify import classify
 from cataloom.session import new_shared_path
-from cataloom.sources.assembled import assemble_ocr_text, assemble_transcript, dispatch_text, text_bearing
+from cataloom.sources.assembled import assemble_ocr_text, assemble_slide_text, assemble_transcript, dispatch_text, text_bearing
 from cataloom.sources.content import previews
 
 SENTENCE = "organize by Invoice, Legal, Medical, HR"
@@ -41,8 +41,12 @@ LEXICON = [
 
 # The extension given to a document, by document number.
 EXTENSIONS = [
-    ".txt", ".csv", ".PDF", ".docx", ".png", ".jpg", ".mp3", ".mp4", ".zip", ".sh", ".py", ".html", "", ".xyz", ".tar.gz",
+    ".txt", ".csv", ".PDF", ".docx", ".png", ".jpg", ".mp3", ".mp4", ".zip", ".sh", ".py", ".html", "", ".xyz", ".tar.gz", ".pptx",
 ]
+#: The first of the extensions, and how many, that pictures, sound and slide decks have.
+PICTURES, SOUND, DECKS = (4, 2), (6, 2), (15, 1)
+#: More turns than a conversation has.
+TURNS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +83,7 @@ def _own_folder() -> Column:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files of 15 kinds, each in its own folder; names repeat."""
+    """All documents as files of 16 kinds, each in its own folder; names repeat."""
     return _listing(
         table(spark, sf_dir, "documents"), _own_folder(), F.concat(F.col("source"), _extension())
     )
@@ -144,9 +148,10 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Conversations as decks: the opening turn is slide text, the others are picture lines."""
     rows = table(spark, sf_dir, "conversations").withColumn("path", F.col("conv_id").cast("string"))
-    text = rows.where("turn = 0").select("path", "text")
+    text = rows.where("turn = 0").select("path", "conv_id", "text")
     lines = rows.where("turn > 0").select(
         "path",
+        "conv_id",
         (F.col("turn") % 2).alias("slide_num"),
         F.lit(0).cast("long").alias("shape_num"),
         F.col("turn").alias("line_num"),
@@ -155,24 +160,50 @@ def slides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return text, lines
 
 
+def _placed(spark: SparkSession, sf_dir: str, pieces: DataFrame, kind: tuple[int, int], *order: str) -> DataFrame:
+    """Every conversation's pieces given to a file of a kind; files that get several read one after the other."""
+    first, kinds = kind
+    n = table(spark, sf_dir, "documents").agg(F.floor(F.count("*") / len(EXTENSIONS)).alias("n")).scalar()
+    conv = F.col("conv_id")
+    owner = F.floor(conv / kinds) % n * len(EXTENSIONS) + first + conv % kinds
+    paths = catalogue(spark, sf_dir).select(F.col("scan_seq").alias("owner"), "path")
+    rows = pieces.drop("path").withColumns({"owner": owner} | {c: conv * TURNS + F.col(c) for c in order})
+    return rows.join(paths, "owner").drop("owner")
+
+
 def catalogue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text-bearing catalogue with previews from documents, picture lines and transcripts."""
+    """The text-bearing catalogue with previews from documents, picture lines, transcripts and slide decks."""
     files = text_bearing(classify(catalogue(spark, sf_dir)))
-    path_of = files.select(F.col("scan_seq").alias("conv_id"), F.col("path").alias("file_path"), "category")
+    documents = document_texts(spark, sf_dir).where("category = 'Documents'")
+    return dispatch_text(files, previews(documents, placed=False), *other_texts(spark, sf_dir))
 
-    def placed(pieces: DataFrame, *categories: str) -> DataFrame:
-        owners = path_of.where(F.col("category").isin(*categories)).drop("category")
-        return pieces.drop("path").join(owners, "conv_id").withColumnRenamed("file_path", "path")
 
-    documents = document_texts(spark, sf_dir).where("category = 'Documents'")
-    return dispatch_text(
-        files,
-        previews(documents, placed=False),
-        assemble_ocr_text(placed(ocr_lines(spark, sf_dir), "Images")),
-        assemble_transcript(placed(segments(spark, sf_dir), "Audio", "Video")),
+def other_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(path, preview)`` of pictures, sound and slide decks of the catalogue; each conversation is in one file of each kind."""
+    text, lines = slides(spark, sf_dir)
+    text = _placed(spark, sf_dir, text, DECKS).groupBy("path").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("conv_id", "text"))).getField("text"), " ").alias("text")
+    )
+    return (
+        assemble_ocr_text(_placed(spark, sf_dir, ocr_lines(spark, sf_dir), PICTURES, "line_num")),
+        assemble_transcript(_placed(spark, sf_dir, segments(spark, sf_dir), SOUND, "seq")),
+        assemble_slide_text(text, _placed(spark, sf_dir, lines, DECKS, "slide_num")),
     )
 
 
+def toy_model():
+    """A model for tests: the first bytes of a word's digest as its vector."""
+    import hashlib
+
+    import numpy as np
+
+    def predict(words):
+        rows = [list(hashlib.md5(str(w).encode()).digest()[:8]) for w in words]
+        return np.array(rows, np.float32).reshape(len(rows), 8) - np.float32(127.5)
+
+    return predict
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as user sentences."""
     return table(spark, sf_dir, "conversations").select(

@@ -56,6 +56,10 @@ def _norm(vec: str) -> str:
     return f"sqrt(list_dot_product({vec}, {vec}))"
 
 
+def _toy(word: str) -> str:
+    return f"list_transform(range(8), lambda i: (('0x' || substr(md5({word}), 2 * i::int + 1, 2))::bigint - 127.5)::double)"
+
+
 _LEX = ", ".join(f"('{t}', '{l}', '{g}', {str(s).lower()})" for t, l, g, s in LEXICON)
 _FOLDER = "'/in/' || lang || case when doc_id % 2 = 1 then '/sub' else '' end"
 _KIND = f"([{_quoted(EXTENSIONS)}])[doc_id % {len(EXTENSIONS)} + 1]"
@@ -122,6 +126,12 @@ def _assembled(source: str, order: str) -> str:
     return f"select path, {_preview('j')} as preview from (select path, string_agg(text, ' ' order by {order}) as j from {source} group by path)"
 
 
+def _owner(first: int, kinds: int) -> str:
+    """The number of the file that a conversation's pieces go to."""
+    n = len(EXTENSIONS)
+    return f"(c.conv_id // {kinds}) % ((select count(*) from documents) // {n}) * {n} + {first} + c.conv_id % {kinds}"
+
+
 _SEGMENTS = f"""(select conv_id::varchar as path, * from conversations
       where conv_id % 11 = 0 or conv_id % 7 = 0 or turn * 50 < least(400 - conv_id % 5 * 75, 150))"""
 
@@ -144,15 +154,18 @@ _CTES = {
       select path, category, case when path like '%.txt' or path like '%.csv' then substring(text, 1, 5000) else text end as text
       from files""",
     "pieces": f"""
-      select f.path, c.turn, c.text from files f join conversations c on c.conv_id = f.scan_seq where f.category = 'Images'
+      select f.path, 0 as part, c.conv_id as a, c.turn as b, c.text from files f join conversations c on f.scan_seq = {_owner(4, 2)}
       union all
-      select f.path, c.turn, c.text from files f join {_SEGMENTS} c on c.conv_id = f.scan_seq
-      where f.category in ('Audio', 'Video')""",
+      select f.path, 0, c.conv_id, c.turn, c.text from files f join {_SEGMENTS} c on f.scan_seq = {_owner(6, 2)}
+      union all
+      select f.path, (turn > 0)::int, case when turn = 0 then c.conv_id else c.conv_id * 2 + turn % 2 end, c.turn, c.text
+      from files f join conversations c on f.scan_seq = {_owner(15, 1)}""",
     "cat_texts": f"""
       select f.path, f.category, coalesce(d.preview, p.preview, '') as preview
       from files f
-      left join (select path, {_preview('text')} as preview from doc_texts where category = 'Documents') d using (path)
-      left join ({_assembled('pieces', 'turn')}) p using (path)
+      left join (select path, {_preview('text')} as preview from doc_texts
+                 where category = 'Documents' and path not like '%.pptx') d using (path)
+      left join ({_assembled('pieces', 'part, a, b')}) p using (path)
       where f.category in ('Documents', 'Images', 'Audio', 'Video')""",
     "toks": _tokens_of("lib_texts", "path", "preview"),
     "looked": _lookup("toks"),
@@ -297,6 +310,15 @@ _SELECTS = {
       select path, ext_category, category, round(score, 9) as score from ({_categorised('files', 'cat_kws')})""",
     "organise_with_query": f"""
       select path, ext_category, category, round(score, 9) as score from ({_categorised('lib', 'kws')})""",
+    "organise_with_model": f"""
+      select l.path, l.category as ext_category,
+             case when m.score > 0.45 then upper(m.label[1]) || lower(m.label[2:]) else l.category end as category,
+             case when m.score > 0.45 then round(m.score, 9) end as score
+      from lib l left join (
+        select path, max(score) as score, arg_max(label, (score, -idx)) as label
+        from (select path, idx, label, list_dot_product(k.vec, t.vec) / ({_norm('k.vec')} * {_norm('t.vec')}) as score
+              from (select path, {_toy('keyword')} as vec from kws) k cross join (select idx, label, {_toy('label')} as vec from targets) t)
+        group by path) m using (path)""",
     "organise_no_query": "select path, category, dest_path, n_suffix, status from clean",
     "organise_layout": f"""
       select path, category, '{DEST}/' || category || '/' || {_numbered('filename', 'k')} as dest_path, k as n_suffix, 'planned' as status
@@ -357,3 +379,10 @@ ORACLE["organise_tree"] = _WITH + f"""
 select path, '/out/' || category || '/' || {_numbered('filename', 'k')} as dest_path, 'copied' as status, 'ok' as verified,
        strlen(text)::bigint as dst_len, true as retired
 from (select *, row_number() over (partition by category, filename order by path) - 1 as k from files)"""
+ORACLE["organise_tree_with_query"] = _WITH + f"""
+select path, '/out/' || category || '/' || {_numbered('filename', 'k')} as dest_path, 'copied' as status, 'ok' as verified,
+       strlen(text)::bigint as dst_len, true as retired
+from (select c.*, cat.text, row_number() over (partition by c.category, c.filename order by c.path) - 1 as k
+      from ({_categorised('files', 'cat_kws')}) c join cat using (scan_seq))"""
+ORACLE["run_progress"] = """
+select unnest(['categorised', 'planned', 'verified']) as step, (select count(*) from documents) as n_rows, 0::bigint as n_failed"""

@@ -300,6 +300,14 @@ def organise_with_query(spark, sf_dir):
     return found.select("path", "ext_category", "category", score())
 
 
+@query
+def organise_with_model(spark, sf_dir):
+    """The library with vectors from a model that is called for each distinct keyword and category name."""
+    files = classify(fx.library(spark, sf_dir))
+    found = categorise(files, fx.library_texts(spark, sf_dir), fx.SENTENCE, fx.lexicon(spark), model=fx.toy_model)
+    return found.select("path", "ext_category", "category", score())
+
+
 def _plan_columns(plan):
     return plan.select("path", "category", "dest_path", "n_suffix", "status")
 
@@ -452,9 +460,42 @@ def organise_tree(spark, sf_dir):
     """Scan, copy, verify and the list of originals to retire, over files that Spark has written."""
     root = fx.file_tree(spark, sf_dir, flat=False)
     done = organise_folder(spark, f"{root}/in", f"{root}/out")
+    return _organised(done, root)
+
+
+def _organised(done, root):
     rows = done.log.join(done.verification.select("path", F.col("status").alias("verified"), "dst_len"), "path")
     rows = rows.join(done.retire.select("path", F.lit(True).alias("retired")), "path", "left")
     return rows.select(
         _relative(root).alias("path"), _relative(root, "dest_path").alias("dest_path"), "status", "verified", "dst_len",
         F.coalesce("retired", F.lit(False)).alias("retired"),
     )
+
+
+def _whole_run(spark, sf_dir):
+    """A folder run with a sentence: files are read, extracted, ranked, matched, copied and verified; texts of other kinds come as tables."""
+    root = fx.file_tree(spark, sf_dir, flat=False)
+    others = [t.select(F.concat(F.lit(root), "path").alias("path"), "preview") for t in fx.other_texts(spark, sf_dir)]
+    return root, organise_folder(
+        spark, f"{root}/in", f"{root}/out", fx.SENTENCE, True, fx.lexicon(spark), fx.term_vectors(spark, sf_dir),
+        _whole_text, *others, key=fx.vector_key(spark, sf_dir),
+    )
+
+
+def _whole_text(path: str) -> str:
+    with open(path, encoding="utf-8") as text:
+        return text.read()
+
+
+@query
+def organise_tree_with_query(spark, sf_dir):
+    root, done = _whole_run(spark, sf_dir)
+    return _organised(done, root)
+
+
+@query
+def run_progress(spark, sf_dir):
+    """The counts that a run shows while it goes on, as they stand at its end."""
+    done = _whole_run(spark, sf_dir)[1]
+    rows = [(step, seen.get["n_rows"], seen.get["n_failed"]) for step, seen in done.progress.items()]
+    return spark.createDataFrame(rows, "step string, n_rows bigint, n_failed bigint")
