@@ -15,7 +15,7 @@ that is above ``CAP`` times a source's words, the target stops there and the res
 for all uncapped sources, found by one pass over the sources in order of words per weight (one narrow row for each source).
 
 Null and empty texts have size 0 and take nothing; rows with a null doc_id or equal rows are kept, each counts by itself (ties
-of the hash are taken in order of id and size, so equal rows can be exchanged without a difference). An empty table gives an
+of the hash are taken in order of id, size and text hash, so only equal rows can be exchanged). An empty table gives an
 empty result. Only ``doc_id, text, source`` are read; ``mix`` keeps the columns it is asked to keep.
 """
 
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     extra = [c for c in keep if c not in ("doc_id", "source")]
     # 60 bits of a digest, which other engines have too
     order = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    rows = docs.select("doc_id", "source", words_in().alias("size"), order.alias("o"), *[F.col(c).alias(f"k_{c}") for c in extra])
+    rows = docs.select("doc_id", "source", words_in().alias("size"), order.alias("o"), F.xxhash64("text").alias("th"), *[F.col(c).alias(f"k_{c}") for c in extra])
     rows = rows.withColumn("bucket", F.shiftright("o", 60 - (BUCKETS.bit_length() - 1)))
     sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
         plan.withColumnRenamed("source", "p"), F.col("source").eqNullSafe(F.col("p")), "inner"
     )
     starts = written(starts.select(F.col("source").alias("p"), F.col("bucket").alias("b"), "start", "source_size", "slope", "target"), "starts")
-    within = Window.partitionBy("source", "bucket").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("o", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
         starts, F.col("source").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")), "inner"
     )
