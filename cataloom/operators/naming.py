@@ -22,12 +22,21 @@ How that becomes a Spark job
   tiles of ``2**TILE_BITS`` ranks, and with ranges of numbers given away. Spark turns
   both back into rows; handing them to the files is an equi join without hot
   keys.
+* A family of names with more than ``2**FAMILY_BITS`` records is not settled by
+  one task. A run of numbers maps ``s``, the numbers passed over before it, to
+  ``max(s, min(s + length, d))``. The runs among ``2**ISLAND_BITS`` numbers are
+  composed into one such map with more corners, all groups at once; one stream
+  of narrow rows, the corners, carries ``s`` from group to group; then every
+  group is settled by itself. A name that may lose itself to the overflow of its
+  parent waits for it, so there is one such pass for each level of numbering.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +48,8 @@ NAME = ["category", "filename"]
 SLICE_BITS = 20
 TILE_BITS = 12
 ISLAND_BITS = 16
+FAMILY_BITS = 16
+_NUMBERS = r"((?:_[1-9][0-9]{0,17})+)\z"
 _NUMBERED_LOOK = r"_[1-9][0-9]{0,17}(\.[^.]*)?\z"
 _NUMBERED = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"
 
@@ -46,6 +57,12 @@ _ANSWERS = (
     "category string, filename string, tile long, "
     "pieces array<struct<first:long,last:long,add:long>>, lost_from long, lost_until long, lost_n long"
 )
+_GROUP = ["category", "parent", "slice"]
+_CORNERS = "category string, parent string, slice long, start_k long, x long, y long"
+_STARTS = "category string, parent string, slice long, s long, place long, next_k long"
+_OUTCOMES = (
+    "category string, filename string, first long, last long, add long, lost_from long, lost_until long, lost_n long"
+)
 
 
 def numbered(filename: Column, suffix: Column) -> Column:
@@ -141,28 +158,31 @@ def _ranked(rows: DataFrame, slice_bits: int, marks: DataFrame | None = None) ->
     return placed.select(*columns, (F.col("inside") + F.col("start")).cast("long").alias("ahead"))
 
 
-def _runs(contests: DataFrame, ranked: DataFrame) -> DataFrame:
+def _runs(contests: DataFrame, ranked: DataFrame, island_bits: int) -> DataFrame:
     """Numbered names, runs of equals folded; windows are cut so that none grows with the queue."""
     ahead = ranked.where("mark is not null").select("category", F.col("mark").alias("filename"), "ahead")
     alike = ["category", "parent", "slice", "n", "taken", "ahead"]
     order = F.row_number().over(Window.partitionBy(*alike).orderBy("k"))
     return (
         contests.join(ahead, NAME, "left")
-        .withColumn("slice", F.shiftright("k", ISLAND_BITS))
+        .withColumn("slice", F.shiftright("k", island_bits))
         .withColumn("run", F.col("k") - order)
         .groupBy(*alike, "run")
         .agg(F.min("k").alias("k"), F.max("k").alias("until"))
     )
 
 
-def _records(contests: DataFrame, ranked: DataFrame) -> DataFrame:
+def _records(contests: DataFrame, ranked: DataFrame, island_bits: int) -> DataFrame:
     """Queues that may overflow (with a name) and runs of their numbers (without one)."""
     queues = contests.select(
         "category", F.col("parent").alias("filename"), F.col("parent_queue.n"), F.col("parent_queue.taken")
     ).distinct()
-    runs = _runs(contests, ranked).select("category", "parent", "k", "until", "n", "taken", "ahead")
-    return _with_parent(queues).unionByName(runs, allowMissingColumns=True).select(
-        "category", "filename", "parent", "k", "until", "n", "taken", "ahead"
+    runs = _runs(contests, ranked, island_bits).select(*_GROUP, "k", "until", "n", "taken", "ahead")
+    return (
+        _with_parent(queues)
+        .unionByName(runs, allowMissingColumns=True)
+        .select("category", "filename", "parent", "slice", "k", "until", "n", "taken", "ahead")
+        .withColumn("family", _family(F.coalesce("filename", "parent")))
     )
 
 
@@ -185,14 +205,14 @@ def _ranges(n: int, own: bool, skips: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _walk(overflow: int, own: bool, runs: list[tuple]) -> tuple[list, list]:
+def _walk(overflow: int, own: bool, runs: list[tuple], s: int = 0) -> tuple[list, list]:
     """Numbers passed over and numbers taken away from their own first file.
 
     Overflowing files walk the numbers upwards. ``s`` numbers have been passed
     over so far, so number ``k`` meets overflow place ``k - s``. That file
     takes the number unless it exists or somebody asked for it earlier.
     """
-    skips, lost, s = [], [], 0
+    skips, lost = [], []
     for k, until, n, taken, ahead in sorted(runs):
         place = k - s
         earlier = 0 if taken else max(ahead - own, 0)  # overflow places before the number's first file
@@ -264,7 +284,145 @@ def _settle(records: pd.DataFrame) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in ("tile", "lost_from", "lost_until", "lost_n")})
 
 
-def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
+def _mapped(corners: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+    """``s`` behind a map given by its corners; between them and beyond it rises by 0 or 1."""
+    x, y = corners
+    i = np.searchsorted(x, s, "right") - 1
+    rising = np.where(i < 0, y[0] - (x[0] - s), y[i] + (s - x[i]))
+    return np.where(i + 1 < len(x), np.minimum(rising, y[np.minimum(i + 1, len(x) - 1)]), rising)
+
+
+def _after(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of map ``two`` after map ``one``."""
+    (x, y), wanted = one, two[0]
+    i = np.searchsorted(y, wanted, "left")
+    near = np.minimum(i, len(x) - 1)
+    x = np.union1d(x, x[near] + (wanted - y[near]))
+    y = _mapped(two, _mapped(one, x))
+    flat = np.concatenate([[False], np.diff(y) == 0, [False]])
+    turn = flat[1:] != flat[:-1]
+    return (x[turn], y[turn]) if turn.any() else (x[:1], y[:1])
+
+
+def _compose(runs: pd.DataFrame) -> pd.DataFrame:
+    """What one group of numbers does to ``s``, for every ``s`` there can be before it."""
+    runs = runs.sort_values("k")
+    start, own, overflow = int(runs["k"].iloc[0]), int(runs["own"].iloc[0]), int(runs["overflow"].iloc[0])
+    earlier = np.where(runs["taken"], 0, np.maximum(runs["ahead"] - own, 0))
+    d = (runs["until"] - np.minimum(earlier, overflow)).to_numpy(np.int64)
+    length = (runs["until"] - runs["k"] + 1).to_numpy(np.int64)
+    maps = [(np.array([high - n, high]), np.array([high, high])) for high, n in zip(d, length)]
+    while len(maps) > 1:
+        rest = maps[len(maps) & ~1 :]
+        maps = [_after(one, two) for one, two in zip(maps[::2], maps[1::2])] + rest
+    x = maps[0][0]
+    x = np.unique(np.concatenate([[0], x[(x > 0) & (x < start - 1)], [start - 1]]))
+    out = pd.DataFrame({"x": x, "y": _mapped(maps[0], x)})
+    return out.assign(start_k=start, **{c: runs[c].iloc[0] for c in _GROUP})[[*_GROUP, "start_k", "x", "y"]]
+
+
+def _carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``s`` before each group, the place of its first number, and where the next group starts.
+
+    A map is the least of ``y + max(0, s - x)`` over its corners, so they can pass in any order, batch by batch.
+    """
+    here, s, place, best = None, 0, 1, None
+    for batch in batches:
+        out = []
+        for group, corners in batch.groupby([*_GROUP, "start_k"], sort=False):
+            if group != here:
+                follows = here is not None and here[:2] == group[:2]
+                if here is not None:
+                    out.append((*here[:3], s, place, group[3] if follows else None))
+                s = best if follows else 0
+                place = group[3] - s if follows else 1
+                here, best = group, None
+            least = int((corners["y"] + np.maximum(0, s - corners["x"])).min())
+            best = least if best is None else min(best, least)
+        yield pd.DataFrame(out, columns=[*_GROUP, "s", "place", "next_k"]).astype({"next_k": "Int64"})
+    if here is not None:
+        last = pd.DataFrame([(*here[:3], s, place, None)], columns=[*_GROUP, "s", "place", "next_k"])
+        yield last.astype({"next_k": "Int64"})
+
+
+def _resolve(runs: pd.DataFrame) -> pd.DataFrame:
+    """Ranges of ranks with what each adds, and numbers given away, of one group."""
+    one = runs.iloc[0]
+    own, overflow, s, start = int(one["own"]), int(one["overflow"]), int(one["s"]), int(one["place"])
+    skips, lost = _walk(
+        overflow, own, list(runs[["k", "until", "n", "taken", "ahead"]].itertuples(index=False, name=None)), s
+    )
+    rows = []
+    for place, passed in skips:
+        if place > start:
+            rows.append((start - 1 + own, place - 2 + own, s + 1 - own, None, None, None))
+            start = place
+        s += passed
+    end = overflow if pd.isna(one["next_k"]) else min(overflow, int(one["next_k"]) - s - 1)
+    if start <= end:
+        rows.append((start - 1 + own, end - 1 + own, s + 1 - own, None, None, None))
+    rows.extend((None, None, None, *given) for given in lost)
+    numbers = ["first", "last", "add", "lost_from", "lost_until", "lost_n"]
+    out = pd.DataFrame(rows, columns=numbers).astype("Int64")
+    return out.assign(category=one["category"], filename=one["parent"])[["category", "filename", *numbers]]
+
+
+def _tiled(ranges: DataFrame) -> DataFrame:
+    """Ranges of ranks as one row for each tile they touch."""
+    low = F.shiftleft(F.col("tile"), TILE_BITS)
+    piece = F.struct(
+        F.greatest("first", low).alias("first"),
+        F.least("last", low + ((1 << TILE_BITS) - 1)).alias("last"),
+        F.col("add").alias("add"),
+    )
+    tiles = F.sequence(F.shiftright("first", TILE_BITS), F.shiftright("last", TILE_BITS))
+    return (
+        ranges.withColumn("tile", F.explode(tiles)).groupBy(*NAME, "tile").agg(F.collect_list(piece).alias("pieces"))
+    )
+
+
+def _settled_in_groups(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tiles of the queues and the numbers given away, for families of any size."""
+    queues = records.where("filename is not null").select(
+        *NAME, "n", "taken", F.regexp_count(F.regexp_extract(stem(F.col("filename")), _NUMBERS, 1), F.lit("_")).alias("level")
+    )
+    runs = records.where("filename is null").select(
+        *_GROUP, "k", "until", "n", "taken", F.coalesce("ahead", F.lit(0)).cast("long").alias("ahead")
+    )
+    # a level takes two signs of a file name at least, so there are few
+    levels = sorted(row.level for row in queues.select("level").distinct().collect())
+    given, tiles, lost = None, [], []
+    for level in levels:
+        here = queues.where(F.col("level") == level)
+        own = ~F.col("taken")
+        if given is not None:
+            here = here.join(given.select(*NAME, F.lit(True).alias("away")), NAME, "left")
+            own = own & F.col("away").isNull()
+        here = here.select("category", F.col("filename").alias("parent"), own.alias("own"), F.col("n").alias("queue"))
+        met = materialise(
+            runs.join(here, ["category", "parent"]).withColumn("overflow", F.col("queue") - F.col("own").cast("long"))
+        )
+        corners = met.groupBy(*_GROUP).applyInPandas(_compose, _CORNERS)
+        starts = (
+            corners.repartition("category", "parent").sortWithinPartitions(*_GROUP).mapInPandas(_carry, _STARTS)
+        )
+        outcomes = materialise(met.join(starts, _GROUP).groupBy(*_GROUP).applyInPandas(_resolve, _OUTCOMES))
+        tiles.append(outcomes.where("first is not null").select(*NAME, "first", "last", "add"))
+        numbers = outcomes.where("lost_from is not null").select(
+            *NAME, F.explode(F.sequence("lost_from", "lost_until")).alias("k"), F.col("lost_n").alias("n")
+        )
+        given = numbers.select("category", numbered(F.col("filename"), F.col("k")).alias("filename"), "n")
+        lost.append(given.join(queues, NAME, "left_anti"))  # the others are settled in their turn
+    return _tiled(reduce(DataFrame.unionAll, tiles)), reduce(DataFrame.unionAll, lost)
+
+
+def assign_names(
+    rows: DataFrame,
+    taken: DataFrame | None = None,
+    slice_bits: int = SLICE_BITS,
+    island_bits: int = ISLAND_BITS,
+    family_size: int = 1 << FAMILY_BITS,
+) -> DataFrame:
     """Add ``target`` and ``n_suffix`` (0 for none) to ``rows``.
 
     ``rows`` needs ``category``, ``filename`` and a unique, gap-poor
@@ -272,6 +430,8 @@ def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: in
     ``taken`` lists ``(category, filename)`` at the destination. The queue
     lengths of the names that can matter are counted at once and checkpointed,
     because the rest of the plan depends on whether there are contests at all.
+    Families with more than ``family_size`` records are settled in groups of
+    ``2**island_bits`` numbers, with the same result.
     """
     lengths = _queue_lengths(rows, taken)
     # a name asked for once, free and without a number never matters
@@ -283,7 +443,7 @@ def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: in
     if taken is not None:
         answers.append(_moved_up(names, contests))
     if not contests.isEmpty():
-        answers.append(_settled(rows, contests, slice_bits))
+        answers.append(_settled(rows, contests, slice_bits, island_bits, family_size))
     suffix = F.col("ahead")
     if answers:
         files = files.join(reduce(DataFrame.unionByName, answers), [*NAME, "tile"], "left")
@@ -296,29 +456,29 @@ def assign_names(rows: DataFrame, taken: DataFrame | None = None, slice_bits: in
     )
 
 
-def _settled(rows: DataFrame, contests: DataFrame, slice_bits: int) -> DataFrame:
+def _settled(rows: DataFrame, contests: DataFrame, slice_bits: int, island_bits: int, family_size: int) -> DataFrame:
     """Tiles for all names in a contest."""
     parents = contests.select("category", F.col("parent").alias("filename")).distinct()
     queues = rows.select(*NAME, "scan_seq").join(parents, NAME, "left_semi")
     marks = contests.where("n > 0 and not taken")
     ranked = _ranked(queues, slice_bits, marks)
-    answers = materialise(
-        _records(contests, ranked)
-        .withColumn("family", _family(F.coalesce("filename", "parent")))
-        .groupBy("category", "family")
-        .applyInPandas(_settle, _ANSWERS)
-    )
+    records = materialise(_records(contests, ranked, island_bits))
+    family = ["category", "family"]
+    large = materialise(records.groupBy(*family).count().where(F.col("count") > family_size).select(*family))
+    by_family = records.join(large, family, "left_anti")
+    answers = materialise(by_family.groupBy(*family).applyInPandas(_settle, _ANSWERS))
     lost = answers.where("tile is null").select(
         "category",
         "filename",
         F.explode(F.sequence("lost_from", "lost_until")).alias("k"),
         F.col("lost_n").alias("n"),
     )
-    return (
-        answers.where("tile is not null")
-        .select(*NAME, "tile", "pieces")
-        .unionByName(_one_more(lost.withColumn("filename", numbered(F.col("filename"), F.col("k")))))
-    )
+    tiles = answers.where("tile is not null").select(*NAME, "tile", "pieces")
+    tiles = tiles.unionByName(_one_more(lost.withColumn("filename", numbered(F.col("filename"), F.col("k")))))
+    if large.isEmpty():
+        return tiles
+    ranges, given = _settled_in_groups(records.join(large, family, "left_semi"))
+    return tiles.unionByName(ranges).unionByName(_one_more(given))
 
 
 def _one_more(names: DataFrame) -> DataFrame:

@@ -13,14 +13,16 @@ POOL = [
 
 
 def one_by_one(rows, taken):
-    used, out = set(taken), []
+    used, out, tried = set(taken), [], {}
     for path, category, filename, seq in sorted(rows, key=lambda r: r[3]):
         name, ext = os.path.splitext(filename)
-        target, k = filename, 0
+        k = tried.get((category, filename), 0)  # names never become free again
+        target = filename if k == 0 else f"{name}_{k}{ext}"
         while (category, target) in used:
             k += 1
             target = f"{name}_{k}{ext}"
         used.add((category, target))
+        tried[category, filename] = k
         out.append((path, target, k))
     return sorted(out)
 
@@ -51,8 +53,10 @@ def test_existing_names(spark):
     check(spark, rows_of("a.t"), set())
 
 
-@pytest.mark.parametrize("slice_bits", [20, 2])
-def test_random_families(spark, slice_bits):
+@pytest.mark.parametrize("slice_bits, options", [
+    (20, {}), (2, {}), (4, {"family_size": 0, "island_bits": 1}), (5, {"family_size": 0}), (6, {"family_size": 6, "island_bits": 2}),
+])
+def test_random_families(spark, slice_bits, options):
     rnd = random.Random(slice_bits)
     rows, taken = [], set()
     for case in range(700):
@@ -60,7 +64,18 @@ def test_random_families(spark, slice_bits):
         taken |= {(f"c{case}", f) for f in pool if rnd.random() < 0.15}
         rows += [(f"c{case}", rnd.choice(pool)) for _ in range(rnd.randint(1, 14))]
     order = rnd.sample(range(len(rows)), len(rows))
-    check(spark, [(f"/{i}", c, f, order[i]) for i, (c, f) in enumerate(rows)], taken, slice_bits=slice_bits)
+    check(spark, [(f"/{i}", c, f, order[i]) for i, (c, f) in enumerate(rows)], taken, slice_bits=slice_bits, **options)
+
+
+def test_one_family_over_many_groups(spark):
+    """Some 100 000 runs of one family in random order, over 196 groups; some numbers exist, some overflow themselves."""
+    rnd = random.Random(4)
+    numbers = list(range(1, 100_001))
+    names = [f"a_{k}.t" for k in numbers] + ["a.t"] * 60_000 + [f"a_{k}.t" for k in rnd.choices(numbers, k=20_000)]
+    names += [f"a_{rnd.randint(1, 99)}_{rnd.randint(1, 9)}.t" for _ in range(3000)]
+    rnd.shuffle(names)
+    taken = {("c", f"a_{k}.t") for k in rnd.sample(range(1, 130_000), 9000)}
+    check(spark, rows_of(*names), taken, island_bits=9)
 
 
 def test_hot_name_and_long_runs(spark):
@@ -73,6 +88,7 @@ def test_hot_name_and_long_runs(spark):
             rnd.shuffle(names)
         check(spark, rows_of(*names), taken, slice_bits=6)
         check(spark, rows_of(*names))
+        check(spark, rows_of(*names), taken, family_size=0, island_bits=5)
 
 
 def test_numbered_names_alone_do_not_contend(spark):
