@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -182,12 +183,25 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` with ``part``, a number for its range of doc_id in descending order."""
+    """``docs`` with ``part``, a number for its range in descending order of doc_id (null last), then by text hash.
+
+    An id that stands in several ranges' worth of rows, or the null, is divided among them by text hash.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, empty = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    without_id = 1 + parts * empty // max(n, 1)
     cuts = docs.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), parts).otherwise(above)), parts
+    shares = Counter(int(c) for c in cuts)
+    above, share = F.lit(0), F.lit(1)
+    if cuts:
+        places = F.array([F.lit(c) for c in sorted(shares.elements())]).cast("array<bigint>")
+        above = F.size(F.filter(places, lambda c: c > F.col("doc_id")))
+        often = F.create_map([F.lit(x).cast("bigint") for pair in shares.items() for x in pair])
+        share = F.coalesce(F.try_element_at(often, F.col("doc_id").cast("bigint")), F.lit(1))
+    share = F.when(F.col("doc_id").isNull(), without_id).otherwise(share)
+    inside = F.least(F.floor((F.col("th") / 2.0**64 + 0.5) * share), share - 1)
+    part = F.when(F.col("doc_id").isNull(), parts).otherwise(above) + inside
+    return docs.withColumn("part", part.cast("int")), parts + without_id
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
@@ -203,11 +217,11 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
         F.coalesce(F.lag("part").over(around), F.last("part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("p"),
         "d", "t",
     )
-    nexts = F.broadcast(written(nexts, "heads"))  # at most parts + 1 rows
+    nexts = F.broadcast(written(nexts, "heads"))  # at most one row for each part
     added = rows.join(nexts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     added = added.select(F.col("p").alias("part"), F.lit(1).alias("last"), F.lit(None).cast("bigint").alias("doc_id"), "th", "text")
     both = rows.select("part", F.lit(0).alias("last"), F.col("doc_id").cast("bigint"), "th", "text").union(added.dropDuplicates(["part"]))
-    return both.repartition(parts, "part").sortWithinPartitions("part", "last", *order)
+    return both.repartitionByRange(parts, "part").sortWithinPartitions("part", "last", *order)
 
 
 _SCHEMA = (

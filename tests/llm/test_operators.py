@@ -234,3 +234,19 @@ def test_jaccard_of_repeated_ids(make, words):
     assert found == {5: {1}, 1: {1}, 2: {1}, 3: {3}, 4: {1}, None: {None}}
     left = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=repr)
     assert left == sorted([(1, near(a)), (2, near(b)), (5, c), (4, near(d)), (5, None), (3, rows[7][1]), (None, a)], key=repr)
+
+
+def test_a_hot_id_is_divided_among_ranges(spark, make):
+    """A third of all rows share an id, a third have none; every row still meets the next one, by id and text hash."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " + chr(97 + i % 26) * (i % 40)) for i in range(300)]
+    docs = make([(i, t, None, None) for i, t in rows])
+    keys = [(r.doc_id, r.th, r.text) for r in fingerprint.keyed(docs).collect()]
+    keys.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    slow = []
+    for (doc_id, _, text), (_, _, after) in zip(keys, keys[1:] + keys[:1]):
+        edited = "".join(fingerprint.halves(text, after))
+        slow.append((doc_id or -1, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    found = [(r.doc_id or -1, r.n_chars, r.edited_sha256) for r in fingerprint.compare_neighbours(docs).collect()]
+    assert sorted(found) == sorted(slow)
+    sizes = [r["count"] for r in fingerprint.with_neighbours(docs).groupBy("part").count().collect()]
+    assert max(sizes) < 100
