@@ -196,8 +196,9 @@ pairs as (
 reach as (
   select doc_id, doc_id as other from documents
   union select r.doc_id, p.b from reach r join pairs p on p.a = r.other)
-select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id
+select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id, coalesce(l.n, 0)::bigint as n_links
 from sets s join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
+left join (select a as doc_id, count(*) as n from pairs group by a) l using (doc_id)
 """
 
 

@@ -136,8 +136,36 @@ def test_components_against_brute_force(make, words):
                     label[a] = label[b] = min(label[a], label[b])
         if all(label[label[a]] == label[a] for a in range(len(texts))):
             break
+    links = [sum(a != b and 100 * len(s & o) >= 75 * len(s | o) for b, o in enumerate(sets)) for a, s in enumerate(sets)]
     found = jaccard_join.link_components(make([(i, t, None, None) for i, t in enumerate(texts)])).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(sets[i]), label[i]) for i in range(len(texts))}
+    expected = {i: (len(sets[i]), label[i], links[i]) for i in range(len(texts))}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == expected
+
+
+@pytest.mark.parametrize("followers,columns", [(jaccard_join.FOLLOWERS, jaccard_join.COLUMNS), (5, 7)])
+def test_links_within_large_groups_against_brute_force(make, words, monkeypatch, followers, columns):
+    """Families of near copies in which some pairs link by size alone, some by shared edits only, and some not at all."""
+    monkeypatch.setattr(jaccard_join, "FOLLOWERS", followers)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", columns)
+    draw = random.Random(21)
+    texts = []
+    for family, size in ((0, 70), (1, 45), (2, 3)):
+        base = [draw.choice(words) for _ in range(130 + family)]
+        edits = [(draw.randrange(len(base)), draw.choice(words[:90])) for _ in range(9)]
+        for _ in range(size):
+            text = list(base)
+            for at, word in draw.sample(edits, draw.randint(0, 4)):
+                text[at] = word
+            for _ in range(draw.randint(0, 3)):
+                text[draw.randrange(len(text))] = draw.choice(words)
+            texts.append(" ".join(text[: draw.randint(len(text) - 12, len(text))]))
+        texts += [texts[-1]] * 4
+    texts += ["", "one word"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    expected = {a: sum(a != b and bool(s) and 100 * len(s & o) >= 75 * len(s | o) for b, o in enumerate(sets)) for a, s in enumerate(sets)}
+    found = jaccard_join.link_components(make([(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.n_links for r in found} == expected
+    assert 0 < expected[0] < 70  # undecided pairs of both kinds exist
 
 
 @pytest.mark.parametrize("hot", [2, suffix_dedup.HOT])
@@ -228,10 +256,14 @@ def test_jaccard_of_repeated_ids(make, words):
     rows = [(5, a), (5, b), (5, c), (5, d), (5, None), (1, near(a)), (2, near(b)), (3, " ".join(words[500:560])), (4, near(d)), (4, near(d)), (None, a)]
     docs = make([(i, t, "en", "s") for i, t in rows])
     found = {}
-    for r in jaccard_join.link_components(docs).collect():
+    answer = jaccard_join.link_components(docs).collect()
+    for r in answer:
         found.setdefault(r.doc_id, set()).add(r.component_id)
     # the texts of 5 are one document, which links 1, 2 and 4
     assert found == {5: {1}, 1: {1}, 2: {1}, 3: {3}, 4: {1}, None: {None}}
+    # links are those of each text, in other rows with an id
+    n_links = sorted(((r.doc_id or 0, r.n_links) for r in answer))
+    assert n_links == [(0, 0), (1, 1), (2, 1), (3, 0), (4, 2), (4, 2), (5, 0), (5, 0), (5, 1), (5, 1), (5, 2)]
     left = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=repr)
     assert left == sorted([(1, near(a)), (2, near(b)), (5, c), (4, near(d)), (5, None), (3, rows[7][1]), (None, a)], key=repr)
 
