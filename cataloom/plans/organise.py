@@ -134,12 +134,14 @@ def organise_folder(
     images: DataFrame | None = None,
     media: DataFrame | None = None,
     decks: DataFrame | None = None,
+    extract_seconds: float | None = None,
     **options,
 ) -> Organised:
     """Scan, categorise, copy, verify and list the originals that may be retired.
 
     Plain text is read from the files. Other documents go through ``extract``
-    (a function from path to text, run on the executors); pictures and sound
+    (a function from path to text, run on the executors, for at most
+    ``extract_seconds`` a file if given); pictures and sound
     come as ``(path, preview)`` tables, slide decks too. Originals are never
     removed here. Folders that cannot be read stop the run at the destination,
     and keep the gate closed at the source.
@@ -156,7 +158,7 @@ def organise_folder(
         documents = plain
         if extract is not None:
             others = files.where((F.col("category") == "Documents") & ~is_plain_text(F.col("path")))
-            documents = plain.unionByName(extract_with(others, extract))
+            documents = plain.unionByName(extract_with(others, extract, extract_seconds))
         # checkpointed, because every extractor call is worth keeping
         cut = materialise(documents.select("path", word_preview(F.col("text")).alias("preview")))
         texts = keyword_eligible(dispatch_text(text_bearing(files), cut, images, media, decks))

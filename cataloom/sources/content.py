@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,27 +33,80 @@ def task_count(files: DataFrame) -> int:
     )
 
 
-def extract_with(files: DataFrame, fn: Callable[[str], str]) -> DataFrame:
+def _called(fn: Callable[[str], str], path: str) -> tuple[str, str | None]:
+    try:
+        return fn(path) or "", None
+    except Exception as problem:  # noqa: BLE001 - any failure means no text
+        return "", f"{type(problem).__name__}: {problem}"
+
+
+class _Apart:
+    """Calls ``fn`` in a child process of the task, which is replaced when a file has hung or crashed it."""
+
+    def __init__(self, fn: Callable[[str], str], seconds: float):
+        self.fn, self.seconds, self.child = fn, seconds, None
+
+    def _serve(self, theirs, ours) -> None:
+        ours.close()  # so that the end of the task is seen as the end of the pipe
+        while True:
+            try:
+                path = theirs.recv()
+            except EOFError:
+                return
+            theirs.send(_called(self.fn, path))
+
+    def __call__(self, path: str) -> tuple[str, str | None]:
+        if self.child is None:
+            fork = multiprocessing.get_context("fork")  # the function need not be pickled again
+            self.pipe, theirs = fork.Pipe()
+            self.child = fork.Process(target=self._serve, args=(theirs, self.pipe), daemon=True)
+            self.child.start()
+            theirs.close()
+        try:
+            self.pipe.send(path)
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            error = f"TimeoutError: no text within {self.seconds} s"
+        except (EOFError, OSError):
+            self.child.join(1)
+            error = f"ChildProcessError: the parser ended with code {self.child.exitcode}"
+        self.stop()
+        return "", error
+
+    def stop(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
+
+
+def extract_with(files: DataFrame, fn: Callable[[str], str], seconds: float | None = None) -> DataFrame:
     """Call ``fn(path)`` for each file on the executors.
 
     A failing file yields the empty text and its error, so one bad file never
-    stops the run and failures can still be counted.
+    stops the run and failures can still be counted. With ``seconds``, a file
+    has that long: a parser that hangs, or takes its process down, costs its
+    file and not its task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "text", "error"]
-        for batch in batches:
-            rows, held = [], 0
-            for path in batch["path"]:
-                try:
-                    rows.append((path, fn(on_disk(path)) or "", None))
-                except Exception as problem:  # noqa: BLE001 - any failure means no text
-                    rows.append((path, "", f"{type(problem).__name__}: {problem}"))
-                held += len(rows[-1][1])
-                if held > CHARS_HELD:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=columns)
+        apart = None if seconds is None else _Apart(fn, seconds)
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for path in batch["path"]:
+                    found = _called(fn, on_disk(path)) if apart is None else apart(on_disk(path))
+                    rows.append((path, *found))
+                    held += len(found[0])
+                    if held > CHARS_HELD:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=columns)
+        finally:
+            if apart is not None:
+                apart.stop()
 
     # an explicit number of tasks: paths are few bytes, and AQE would merge them into one task
     return files.select("path").repartition(task_count(files), "path").mapInPandas(run, EXTRACTED)

@@ -2,13 +2,14 @@
 
 import os
 import shutil
+import time
 
 import pytest
 from cataloom import organise, organise_folder
 from cataloom.operators.layout import default_destination, names_in_layout, plan_layout
 from cataloom.operators.summary import category_breakdown, run_summary, with_progress
 from cataloom.operators.verify import failed_verifications, retire_gate, retire_list, verify_copies
-from cataloom.sources.content import extract_with, read_text_prefix
+from cataloom.sources.content import _Apart, extract_with, read_text_prefix
 from cataloom.sources.listing import scan_files
 
 FILES = {
@@ -72,6 +73,29 @@ def test_extract_errors_are_recorded(spark, folder):
     assert all(r.text == "t" and r.error is None for r in rows if not r.path.endswith(".PNG"))
 
 
+def test_a_parser_that_hangs_or_crashes_costs_its_file_only(spark, folder):
+    def fn(path):
+        if path.endswith(".PNG"):
+            time.sleep(1000)
+        if path.endswith(".gz"):
+            os._exit(3)
+        if path.endswith(".CSV"):
+            raise ValueError("no parser")
+        return "é" * 100_000 if path.endswith("/a.txt") else None if path.endswith("_name") else "t"
+
+    files = scan_files(spark, folder)
+    found = {os.path.basename(r.path): (r.text, r.error) for r in extract_with(files, fn, seconds=2.0).collect()}
+    assert found.pop("pic.PNG") == ("", "TimeoutError: no text within 2.0 s")
+    assert found.pop("arch.tar.gz") == ("", "ChildProcessError: the parser ended with code 3")
+    assert found.pop("b.CSV") == ("", "ValueError: no parser")
+    assert found.pop("a.txt") == ("é" * 100_000, None) and found.pop("_name") == ("", None)
+    assert set(found.values()) == {("t", None)}
+    # files behind a bad one, in one task
+    caller = _Apart(fn, 0.5)
+    assert [caller(p)[1] is None for p in ("x.PNG", "x.gz", "x.txt", "y.gz", "y.txt")] == [False, False, True, False, True]
+    caller.stop()
+
+
 def test_organise_folder(spark, folder):
     os.remove(os.path.join(folder, "broken"))
     done = organise_folder(spark, folder)
