@@ -1,7 +1,10 @@
 """What a task holds stays the same when the input grows."""
 
+import re
+
 import pytest
 from cataloom.operators.keywords import top_keywords
+from cataloom.plans.organise import categorise
 from cataloom.sources import content
 from cataloom.sources.content import previews
 from pyspark.sql import functions as F
@@ -23,3 +26,14 @@ def test_keywords_are_counted_in_shares_of_bounded_size(spark, lexicon, monkeypa
     sizes = found.groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct("path").alias("n")).collect()
     assert sum(r.n for r in sizes) == 600
     assert max(r.n for r in sizes) < 40
+
+
+def test_texts_that_count_are_dealt_by_number(spark, lexicon, monkeypatch):
+    monkeypatch.setattr(content, "FILES_PER_COUNT", 10, raising=False)
+    files = library(spark).select("path", F.lit("Documents").alias("category"))
+    vectors = spark.createDataFrame([("word", [1.0]), ("Legal", [1.0])], "term string, vec array<double>")
+    texts = previews(library(spark), placed=False)
+    done = categorise(files, texts, "organize by Legal", lexicon, vectors)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(path#\d+, 60\), REPARTITION_BY_NUM", plan)
+    assert done.where("category = 'Legal'").count() == 600
