@@ -39,9 +39,9 @@ def _entry(folder: str, entry: os.DirEntry) -> tuple:
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["parent", "filename", "kind", "length", "mtime", "error"]
+    rows = []  # of any number of folders: a table for each folder costs far more than listing it
     for batch in batches:
         for folder in batch["folder"]:
-            rows = []
             try:
                 with os.scandir(on_disk(folder)) as entries:
                     for entry in entries:
@@ -53,8 +53,8 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 pass
             except OSError as problem:  # keep what was listed, and say so
                 rows.append((folder, "", "error", 0, None, f"{type(problem).__name__}: {problem.strerror}"))
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _list_level(folders: DataFrame) -> DataFrame:

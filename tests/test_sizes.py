@@ -2,10 +2,11 @@
 
 import re
 
+import pandas as pd
 import pytest
 from cataloom.operators.keywords import top_keywords
 from cataloom.plans.organise import categorise
-from cataloom.sources import content
+from cataloom.sources import content, listing
 from cataloom.sources.content import previews
 from pyspark.sql import functions as F
 
@@ -37,3 +38,13 @@ def test_texts_that_count_are_dealt_by_number(spark, lexicon, monkeypatch):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(path#\d+, 60\), REPARTITION_BY_NUM", plan)
     assert done.where("category = 'Legal'").count() == 600
+
+
+def test_many_folders_are_one_table(tmp_path):
+    for i in range(300):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "a.txt").write_text(str(i))
+    folders = pd.DataFrame({"folder": [str(tmp_path / str(i)) for i in range(300)] + [str(tmp_path / "nowhere")]})
+    found = list(listing._list_folders(iter([folders[:200], folders[200:]])))
+    assert len(found) == 1
+    assert sorted(found[0]["parent"]) == sorted(folders["folder"][:300]) and set(found[0]["filename"]) == {"a.txt"}
