@@ -1,5 +1,6 @@
 """What a task holds stays the same when the input grows."""
 
+import os
 import re
 
 import pandas as pd
@@ -8,6 +9,7 @@ from cataloom.operators.keywords import top_keywords
 from cataloom.plans.organise import categorise
 from cataloom.sources import content, listing
 from cataloom.sources.content import previews
+from cataloom.workload import fixtures as fx
 from pyspark.sql import functions as F
 
 
@@ -48,3 +50,20 @@ def test_many_folders_are_one_table(tmp_path):
     found = list(listing._list_folders(iter([folders[:200], folders[200:]])))
     assert len(found) == 1
     assert sorted(found[0]["parent"]) == sorted(folders["folder"][:300]) and set(found[0]["filename"]) == {"a.txt"}
+
+
+def test_writers_hold_few_texts(spark, tmp_path, monkeypatch):
+    rows = spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'web' as source", "length(text) as n_chars")
+    rows.unionAll(rows.where("doc_id < 5")).write.parquet(str(tmp_path / "documents.parquet"))
+    frame, held = type(rows), []
+    original, usual = frame.mapInArrow, spark.conf.get(fx.ARROW_ROWS)
+
+    def seen(self, *args, **options):
+        held.append(int(spark.conf.get(fx.ARROW_ROWS)))
+        return original(self, *args, **options)
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    root = fx.file_tree(spark, str(tmp_path), flat=True)
+    assert held == [fx.TEXTS_HELD] and spark.conf.get(fx.ARROW_ROWS) == usual
+    found = [os.path.join(d, f) for d, _, files in os.walk(root) for f in files]
+    assert sorted(open(p).read() for p in found) == sorted(f"text {i}" for i in range(40))
