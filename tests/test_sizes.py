@@ -5,6 +5,7 @@ import re
 
 import pandas as pd
 import pytest
+from cataloom.operators import match
 from cataloom.operators.keywords import top_keywords
 from cataloom.plans.organise import categorise
 from cataloom.sources import content, listing
@@ -67,3 +68,25 @@ def test_writers_hold_few_texts(spark, tmp_path, monkeypatch):
     assert held == [fx.TEXTS_HELD] and spark.conf.get(fx.ARROW_ROWS) == usual
     found = [os.path.join(d, f) for d, _, files in os.walk(root) for f in files]
     assert sorted(open(p).read() for p in found) == sorted(f"text {i}" for i in range(40))
+
+
+def test_matches_of_files_and_sentences_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(match, "FILE_BLOCK", 7, raising=False)
+    monkeypatch.setattr(match, "SENTENCE_BLOCK", 3, raising=False)
+    words = [f"w{i}" for i in range(6)]
+    vectors = spark.createDataFrame([(w, [float(i == k) for k in range(6)]) for i, w in enumerate(words)], "term string, vec array<double>")
+    keywords = spark.createDataFrame([(f"/{i}", words[(i + k) % 6]) for i in range(30) for k in range(2)] + [(None, "w0")], "path string, keyword string")
+    targets = spark.createDataFrame([(f"q{i}", k, words[(i + k * 2) % 6]) for i in range(10) for k in range(2)], "query_id string, idx bigint, label string")
+    found = match.match_sentences(keywords, targets, vectors)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+, path#\d+", plan)
+    held, expected = {}, set()
+    for path, word in ((r.path, r.keyword) for r in keywords.collect()):
+        held.setdefault(path, set()).add(word)
+    for i in range(10):
+        for path, has in held.items():
+            hits = [(k, words[(i + k * 2) % 6]) for k in range(2) if words[(i + k * 2) % 6] in has]
+            if hits:
+                expected.add((f"q{i}", path, 1.0, *min(hits)))
+    assert {tuple(r) for r in found.collect()} == expected
+    assert match.match_sentences(keywords.limit(0), targets, vectors).isEmpty()
