@@ -11,6 +11,7 @@ from cataloom.plans.organise import categorise
 from cataloom.sources import content, listing
 from cataloom.sources.content import previews
 from cataloom.workload import fixtures as fx
+from cataloom.workload.registry import QUERIES
 from pyspark.sql import functions as F
 
 
@@ -90,3 +91,9 @@ def test_matches_of_files_and_sentences_are_not_moved(spark, monkeypatch):
                 expected.add((f"q{i}", path, 1.0, *min(hits)))
     assert {tuple(r) for r in found.collect()} == expected
     assert match.match_sentences(keywords.limit(0), targets, vectors).isEmpty()
+
+
+def test_matches_are_counted_without_sorting(spark):
+    plan = QUERIES["match_sentences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[query_id" in plan.split("FlatMapCoGroupsInArrow")[0]
+    assert "SortAggregate" not in plan.split("FlatMapCoGroupsInArrow")[0]
