@@ -13,6 +13,8 @@ no language has seen is looked up one order below, times the weight of its conte
 taken for another. The tables are cut by a hash of the run into shards of at most ``SHARD`` numbers, as many as the runs
 need; each is collected and broadcast by itself, so neither the driver nor a worker holds more than one, unless all of them
 together have at most ``HELD`` numbers. Else a worker reads texts in larger blocks and goes through the shards for each.
+Besides its shards and the rows that Spark hands over a worker holds a few numbers for each of ``BLOCK`` or ``PART`` symbols, whatever
+the length of the texts and of the batches.
 
 Prediction. The language with the least cross-entropy per character wins (ties: the first by name). ``score`` is its
 share of ``exp(-SHARPNESS * cross-entropy)`` over all languages. ``rejected`` is true where the text has no letter or its
@@ -43,9 +45,9 @@ from pyspark.sql import types as T
 from cataloom.llm.common import U64, aside, mix, written
 
 ORDER, CHAR_BITS, MAX_LANGUAGES = 5, 12, 256
-SHARD, HELD = 1 << 23, 1 << 25  # numbers of four bytes
+SHARD, HELD = 1 << 23, 1 << 24  # numbers of four bytes
 DISCOUNT, SHARPNESS, MARGIN, SHORT, QUANTILE, FEW = 0.75, 4.0, 1.0, 6.0, 0.95, 20
-PART = 1 << 20  # characters handled at once
+PART, BLOCK = 1 << 17, 1 << 21  # characters handled at once; runs a worker keeps before it counts them or goes through shards
 UNKNOWN = "und"
 _MASK = (1 << CHAR_BITS) - 1
 
@@ -94,6 +96,11 @@ def runs(text: str | None, fold: np.ndarray) -> Iterator[tuple[np.ndarray, int,
         yield key, n, letters
 
 
+def singly(found: pa.Array | list) -> Iterator[str | None]:
+    """The values of an Arrow array one at a time, so that no second copy of all texts is made."""
+    return iter(found) if isinstance(found, list) else (x.as_py() for x in found)
+
+
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (mix(key.astype(U64)) % U64(shards)).astype(np.int64)
 
@@ -114,6 +121,16 @@ def find(shard: Shard, key: np.ndarray) -> np.ndarray:
     return np.where(keys[row] == key, row, -1)
 
 
+def added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of ``n`` for each."""
+    if not len(key):
+        return key, n
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+    return key[first], np.add.reduceat(n, first)
+
+
 def add_logs(shard: Shard, total: np.ndarray, owner: np.ndarray, row: np.ndarray) -> None:
     """Add the logs of rows to the totals of their owners (ascending)."""
     for part in range(0, len(row), 8192):
@@ -134,12 +151,18 @@ class Model:
     fold: Broadcast
 
     def _each(self, shards: list[Broadcast], key: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
-        """Every shard that has some of the keys, and which."""
-        of = shard_of(key, len(shards)) if len(shards) > 1 else np.zeros(len(key), np.int64)
+        """Every shard that has some of the keys, and which: at most PART at once."""
+        of = np.zeros(len(key), np.int32)
+        for at in range(0, len(key) if len(shards) > 1 else 0, PART):
+            of[at : at + PART] = shard_of(key[at : at + PART], len(shards))
         for i, shared in enumerate(shards):
-            mine = np.flatnonzero(of == i)
-            if len(mine):
-                yield shared.value, mine
+            some = False
+            for at in range(0, len(key), PART):
+                mine = at + np.flatnonzero(of[at : at + PART] == i)
+                if len(mine):
+                    some = True
+                    yield shared.value, mine
+            if some:
                 if not self.held and getattr(shared, "_path", None):
                     vars(shared).pop("_value", None)  # read again from the executor's disk when wanted
 
@@ -163,60 +186,78 @@ class Model:
                 for shard, mine in self._each(self.contexts[order], context):
                     row = find(shard, context[mine])
                     add_logs(shard, total, owner[mine[row >= 0]], row[row >= 0])
-                key = key & ((1 << CHAR_BITS * (order - 1)) - 1)
+                del context
+                key &= (1 << CHAR_BITS * (order - 1)) - 1
         total += np.bincount(owner, minlength=len(total))[:, None] * self.floor
 
-    def read(self, found: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, found: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the cross-entropy per character by language, the characters and the letters."""
         total = np.zeros((len(found), len(self.languages)))
         n, letters = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-        block = PART if self.held else 4 * PART
+        block = PART if self.held else BLOCK
         keys: list[np.ndarray] = []
         owners: list[int] = []
         size = 0
 
         def settle() -> None:
             if keys:
-                self.add(total, np.repeat(owners, [len(k) for k in keys]), np.concatenate(keys))
+                owner, key = np.repeat(np.array(owners, np.int32), [len(k) for k in keys]), np.concatenate(keys)
+                keys.clear()
+                owners.clear()
+                self.add(total, owner, key)
 
-        for i, text in enumerate(found):
+        for i, text in enumerate(singly(found)):
             for key, chars, some in runs(text, self.fold.value):
                 keys.append(key)
                 owners.append(i)
                 n[i], letters[i], size = n[i] + chars, letters[i] + some, size + len(key)
                 if size >= block:
                     settle()
-                    keys, owners, size = [], [], 0
+                    size = 0
         settle()
         return -total / np.maximum(n, 1)[:, None], n, letters
 
 
+def count_runs(batches: Iterator[pa.RecordBatch], fold: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n`` of batches of ``text, lang``; a run can come more than once."""
+    fresh: dict[str, list[np.ndarray]] = {}
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def settle():
+        for name in list(fresh):
+            key, n = np.unique(np.concatenate(fresh.pop(name)), return_counts=True)
+            if name in held:
+                key, n = added(np.concatenate([held[name][0], key]), np.concatenate([held[name][1], n]))
+            held[name] = key, n
+
+    def emit():
+        for name in list(held):
+            key, n = held.pop(name)
+            for at in range(0, len(key), PART):
+                part = [pa.array(x[at : at + PART], pa.int64()) for x in (key, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part[0]), pa.string()), *part], names=["lang", "key", "n"])
+
+    for batch in batches:
+        for text, name in zip(singly(batch.column("text")), singly(batch.column("lang"))):
+            for key, _, _ in runs(text, fold):
+                fresh.setdefault(name, []).append(key)
+                size += len(key)
+                if size > BLOCK // 4:
+                    settle()
+                    size = 0
+                    if sum(len(key) for key, _ in held.values()) > BLOCK // 4:
+                        yield from emit()
+    settle()
+    yield from emit()
+
+
 def _counted(docs: DataFrame, lang: str) -> DataFrame:
     """``lang, key, n``: how often each run occurs in the texts of each language."""
     fold = docs.sparkSession.sparkContext.broadcast(fold_table())  # one number for each code point
-
-    def count(batches):
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
-        for batch in batches:
-            for text, name in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                for key, _, _ in runs(text, fold.value):
-                    held.setdefault(name, []).append(key)
-                    size += len(key)
-                    if size > 8 * PART:
-                        yield from _emit(held)
-                        held, size = {}, 0
-        yield from _emit(held)
-
-    def _emit(held):
-        for name, keys in held.items():
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(key), pa.string()), pa.array(key), pa.array(n, pa.int64())], names=["lang", "key", "n"]
-            )
-
     found = docs.select("text", F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    return found.mapInArrow(count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    seen = found.mapInArrow(lambda batches: count_runs(batches, fold.value), "lang string, key bigint, n bigint")
+    return seen.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def _probabilities(counts: DataFrame, languages: list[str]) -> dict[int, tuple[DataFrame, DataFrame]]:
@@ -311,7 +352,7 @@ def _scored(docs: DataFrame, model: Model, limits: dict[str, float], keep: list[
     def predict(batches):
         for batch in batches:
             out = []
-            found = batch.column("text").to_pylist()
+            found = batch.column("text")
             entropies, chars, letters = model.read(found) if model.languages else (None, None, np.zeros(len(found)))
             for i, some in enumerate(letters):
                 if not some:

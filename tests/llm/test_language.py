@@ -91,3 +91,69 @@ def test_sorted_arrays_find_every_key():
     row = language.find((keys, np.zeros((len(keys), 1), np.float32)), asked)
     assert (row >= 0).tolist() == np.isin(asked, keys).tolist() and (keys[row[row >= 0]] == asked[row >= 0]).all()
     assert language.find((keys[:0], np.zeros((0, 1), np.float32)), asked).max() == -1
+
+
+def test_counts_add_up_whatever_is_held(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    draw = random.Random(17)
+    rows = [("".join(draw.choice("abc é한") for _ in range(draw.randint(0, 900))), draw.choice(["a", "b"])) for _ in range(60)]
+    fold = language.fold_table()
+    wanted = Counter((name, int(k)) for text, name in rows for key, _, _ in language.runs(text, fold) for k in key)
+    batches = [pa.table({"text": [t for t, _ in part], "lang": [x for _, x in part]}).to_batches()[0] for part in (rows[:1], rows[1:50], rows[50:])]
+    for part, block in ((language.PART, language.BLOCK), (100, 4000), (7, 40)):
+        monkeypatch.setattr(language, "PART", part)
+        monkeypatch.setattr(language, "BLOCK", block)
+        found = Counter()
+        for out in language.count_runs(iter(batches), fold):
+            for name, key, n in zip(*(out.column(c).to_pylist() for c in ("lang", "key", "n"))):
+                found[name, key] += n
+        assert found == wanted
+
+
+def test_a_worker_needs_the_same_memory_for_larger_batches():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(18)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    found = ["".join(draw.choice(letters, 5000)) for _ in range(1600)]
+    fold = language.fold_table()
+    keys = np.unique(np.concatenate([k for t in found[:20] for k, _, _ in language.runs(t, fold)]))
+    shared = {}
+    for order in range(1, language.ORDER + 1):
+        some = np.unique(keys & ((1 << language.CHAR_BITS * order) - 1))
+        of = language.shard_of(some, 2)
+        shared[order] = [SimpleNamespace(value=(some[of == i], np.full((int((of == i).sum()), 2), -1, np.float32))) for i in range(2)]
+    batch = pa.table({"text": pa.array(found), "lang": pa.array(["a", "b"] * 800)}).to_batches()[0]
+
+    def peak(use) -> float:
+        tracemalloc.start()
+        try:
+            use()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    for held, most in ((True, 20), (False, 140)):
+        model = language.Model(["a", "b"], shared, shared, held, -8.0, SimpleNamespace(value=fold))
+        assert peak(lambda: model.read(found)) < most
+        for one, other in zip(model.read(found[:9]), model.read(batch.column("text")[:9])):
+            assert (one == other).all()
+    assert peak(lambda: [b.num_rows for b in language.count_runs(iter([batch]), fold)]) < 80
+
+
+def test_every_cut_array_has_the_runs_of_its_order(make, monkeypatch):
+    docs = make([(i, t, name, None) for i in range(5) for t, name in (("abcab cabba " * 30, "a"), ("한국日本語 çघगखक " * 30, "b"))])
+    keys = np.unique(np.concatenate([k for r in docs.collect() for k, _, _ in language.runs(r.text, language.fold_table())]))
+    monkeypatch.setattr(language, "SHARD", 100)
+    monkeypatch.setattr(language, "HELD", 0)
+    model = language.train(docs)
+    assert not model.held and len(model.tables[5]) > 1
+    for order in range(1, language.ORDER + 1):
+        some = np.unique(keys & ((1 << language.CHAR_BITS * order) - 1))
+        assert (np.sort(np.concatenate([s.value[0] for s in model.tables[order]])) == some).all()
