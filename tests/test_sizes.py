@@ -97,3 +97,31 @@ def test_matches_are_counted_without_sorting(spark):
     plan = QUERIES["match_sentences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[query_id" in plan.split("FlatMapCoGroupsInArrow")[0]
     assert "SortAggregate" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def crowd(spark):
+    """30 files, 10 sentences and vectors with ties: ``(keywords, targets, vectors)``."""
+    words = [f"w{i}" for i in range(12)]
+    vectors = spark.createDataFrame([(w, [1.0, float(i % 5), float(i % 3)]) for i, w in enumerate(words)], "term string, vec array<double>")
+    keywords = spark.createDataFrame([(f"/{i}", words[(i * 5 + k * 7) % 12]) for i in range(30) for k in range(3)] + [(None, "w0"), ("/x", "unknown")], "path string, keyword string")
+    targets = spark.createDataFrame([(f"q{i}", k, words[(i + k * 5) % 12]) for i in range(10) for k in range(3)], "query_id string, idx bigint, label string")
+    return keywords, targets, vectors
+
+
+def test_blocks_meet_without_being_moved(spark, monkeypatch):
+    for name, value in {"FILE_BLOCK": 7, "SENTENCE_BLOCK": 3, "TERM_BLOCK": 2, "TARGET_BLOCK": 2}.items():
+        monkeypatch.setattr(match, name, value, raising=False)
+    plan = match.match_sentences(*crowd(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # no copy of a block of files for each block of sentences, nor the other way round
+
+
+def test_matches_in_blocks_of_any_size(spark, monkeypatch):
+    frames = crowd(spark)
+    expected = sorted(map(str, match.match_sentences(*frames, threshold=0.9).collect()))
+    assert len({r.split(",")[0] for r in expected}) == 10
+    for name, value in {"FILE_BLOCK": 4, "FILES_HELD": 2, "SENTENCE_BLOCK": 4, "TERM_BLOCK": 2, "TARGET_BLOCK": 2, "VECTORS_HELD": 1, "SHARD": 5, "CELLS_HELD": 9, "MATCHES_HELD": 3}.items():
+        monkeypatch.setattr(match, name, value)
+    assert sorted(map(str, match.match_sentences(*frames, threshold=0.9).collect())) == expected
+    found = match.match_sentences(*frames, threshold=0.9, gathered=True).collect()
+    rows = [(r.query_id, path, score, r.idx, r.label) for r in found for path, score in zip(r.paths, r.scores, strict=True)]
+    assert sorted(str(type(row)(row)) for row in rows) == sorted(str((r.query_id, r.path, r.score, r.idx, r.label)) for r in match.match_sentences(*frames, threshold=0.9).collect())
