@@ -2,12 +2,14 @@
 
 import os
 import re
+import time
 
 import pandas as pd
 import pytest
 from cataloom.operators import match
 from cataloom.operators.keywords import top_keywords
 from cataloom.plans.organise import categorise
+from cataloom.session import REMOVE_SHUFFLES, materialise
 from cataloom.sources import content, listing
 from cataloom.sources.content import previews
 from cataloom.workload import fixtures as fx
@@ -125,3 +127,36 @@ def test_matches_in_blocks_of_any_size(spark, monkeypatch):
     found = match.match_sentences(*frames, threshold=0.9, gathered=True).collect()
     rows = [(r.query_id, path, score, r.idx, r.label) for r in found for path, score in zip(r.paths, r.scores, strict=True)]
     assert sorted(str(type(row)(row)) for row in rows) == sorted(str((r.query_id, r.path, r.score, r.idx, r.label)) for r in match.match_sentences(*frames, threshold=0.9).collect())
+
+
+def test_texts_are_written_where_they_are_read(spark, tmp_path, monkeypatch):
+    rows = spark.range(80).selectExpr("id % 60 as doc_id", "concat('text ', id % 60) as text", "'en' as lang", "'web' as source", "length(text) as n_chars")
+    rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "documents.parquet"))
+    frame, plans = type(rows), []
+    original = frame.mapInArrow
+
+    def seen(self, *args, **options):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return original(self, *args, **options)
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    root = fx.file_tree(spark, str(tmp_path), flat=True)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    found = [os.path.join(d, f) for d, _, files in os.walk(root) for f in files]
+    assert sorted(open(p).read() for p in found) == sorted(f"text {i}" for i in range(60))
+    assert not os.path.exists(f"{root}-parts")
+
+
+def test_a_checkpoint_leaves_no_shuffle_behind(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for at in disk.localDirs() for d, _, files in os.walk(at.getPath()) for f in files if re.match(r"shuffle_\d+_.*\.data", f)}
+
+    before, usual = shuffles(), spark.conf.get(REMOVE_SHUFFLES, "false")
+    kept = materialise(spark.range(1000, numPartitions=4).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert kept.agg(F.sum("count")).first()[0] == 1000 and spark.conf.get(REMOVE_SHUFFLES, "false") == usual
